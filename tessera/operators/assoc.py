@@ -85,14 +85,14 @@ def fit_glm(x: np.ndarray, y: np.ndarray, binomial: bool, rounds: int = 100, tol
         else:
             beta, last = np.zeros(x.shape[1]), math.inf
             for step in range(rounds):
-                mu = (y + 0.5) / 2 if step == 0 else 1 / (1 + np.exp(-np.clip(x @ beta, -500, 500)))
-                if step and (mu <= 1e-12).all() | (np.abs(y - mu) < 1e-10).all():
+                mu = (y + 0.5) / 2 if step == 0 else 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+                if (np.abs(y - mu) < 1e-6).all():
                     return none  # separated
                 w = np.maximum(mu * (1 - mu), 1e-12)
                 eta = np.log(mu / (1 - mu))
                 root = np.sqrt(w)[:, None]
                 beta = np.linalg.lstsq(x * root, (eta + (y - mu) / w) * root[:, 0], rcond=None)[0]
-                mu = np.clip(1 / (1 + np.exp(-np.clip(x @ beta, -500, 500))), 1e-12, 1 - 1e-12)
+                mu = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
                 dev = -2 * float(np.sum(y * np.log(mu) + (1 - y) * np.log(1 - mu)))
                 if abs(dev - last) < tol:
                     break
@@ -134,12 +134,13 @@ def glm(calls: DataFrame, phenotype: dict[str, float], covariates: dict[str, lis
     return calls.groupBy(*key).applyInPandas(kernel, ", ".join(f"{c} {kinds[c]}" for c in key) + ", beta double, se double, p double")
 
 
-def gaussian_by_sums(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+def gaussian_by_sums(rows: DataFrame, by: list[str], x: str, y: str, least: float = 0.0) -> DataFrame:
     """(by, n, beta, se): least squares of y on 1 + x from sums, wholly by partial
-    aggregation; groups where x is constant have null beta."""
+    aggregation; groups where x is constant (its squares sum to at most `least`) have
+    null beta."""
     sxx, sxy, syy = F.regr_sxx(y, x), F.regr_sxy(y, x), F.regr_syy(y, x)
     s = rows.groupBy(*by).agg(F.regr_count(y, x).alias("n"), sxx.alias("sxx"), sxy.alias("sxy"), syy.alias("syy"))
-    ok = (F.col("sxx") > 0) & (F.col("n") > 2)
+    ok = (F.col("sxx") > least) & (F.col("n") > 2)
     beta = F.when(ok, F.col("sxy") / F.col("sxx"))
     rest = F.when(ok, F.greatest(F.lit(0.0), F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx")))
     return s.select(*by, "n", beta.alias("beta"), F.sqrt(rest / (F.col("n") - 2) / F.col("sxx")).alias("se"))

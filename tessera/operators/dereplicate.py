@@ -22,7 +22,7 @@ def best_of_species(scored: DataFrame) -> DataFrame:
 
 def sketches(seqs: DataFrame, group: str, k: int = 21, size: int = 1000, seed: int = 42) -> DataFrame:
     """(group, hash): the `size` smallest hashes of a group's canonical k-mers."""
-    hashes = seqs.select(group, F.explode(kmers(F.col("seq"), k)).alias("w")).where(F.col("w").rlike(f"^[ACGT]{{{k}}}$"))
+    hashes = seqs.select(group, F.explode(kmers(F.col("seq"), k)).alias("w"))
     hashes = hashes.select(group, F.xxhash64(canonical(F.col("w")), F.lit(seed)).alias("hash")).distinct()
     w = Window.partitionBy(group).orderBy("hash")
     return hashes.withColumn("r", F.row_number().over(w)).where(F.col("r") <= size).drop("r")

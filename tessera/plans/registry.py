@@ -1,6 +1,11 @@
-"""Named queries over the standard tables, with their SQL."""
+"""Named queries over the standard tables, with their SQL where SQL can express them."""
 
 from __future__ import annotations
 
+from . import association, genomes, graphs, reads, relational, sequences, taxa
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in (genomes, taxa, sequences, reads, association, graphs, relational):
+    QUERIES |= _module.PLANS.queries
+    ORACLES |= _module.PLANS.oracles
