@@ -72,8 +72,8 @@ def collapse(turns: DataFrame) -> DataFrame:
 
 
 SQL = """
-WITH c AS (SELECT conv_id, list({'turn': turn, 'role': role, 'text': text} ORDER BY turn, role, text) AS ts, count(*) AS n,
-  string_agg('<|im_start|>' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered
+WITH c AS (SELECT conv_id, list({'turn': turn, 'role': role, 'text': text} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS ts, count(*) AS n,
+  string_agg('<|im_start|>' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS rendered
   FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
 k AS (SELECT ts, n, rendered, min(conv_id) AS conv_id, count(*) AS n_copies FROM c GROUP BY ALL)
 SELECT conv_id, n AS n_turns, n_copies, rendered FROM k WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.n > k.n AND c.ts[1:k.n] = k.ts)

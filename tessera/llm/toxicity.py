@@ -138,7 +138,7 @@ class LabelModel:
 def label_model(patterns: dict[str, int], share: float, rounds: int = 40) -> LabelModel:
     """Fits accuracies and correlations to counts of vote patterns; share: prior of class 1."""
     keys = sorted(patterns)
-    v = np.array([["-0+".index(c) for c in k] for k in keys]).reshape(len(keys), len(VOTERS))
+    v = np.array([["-0+".index(c) for c in k] for k in keys], int).reshape(len(keys), len(VOTERS))
     n = np.array([patterns[k] for k in keys], float)
     prior = math.log(share / (1 - share))
     weight, m = np.ones(len(VOTERS)), len(VOTERS)
