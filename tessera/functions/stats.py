@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def average_rank(value: str, by: list[str]) -> Column:
@@ -54,7 +55,7 @@ def mann_whitney_p(u1: float, n1: int, n2: int, ties: float, small: int = 8) ->
     return min(1.0, math.erfc((u - n1 * n2 / 2 - 0.5) / math.sqrt(var) / math.sqrt(2)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def mann_whitney(u1: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series) -> pd.Series:
     return pd.Series([mann_whitney_p(*x) for x in zip(u1, n1, n2, ties, strict=True)])
 

@@ -66,4 +66,4 @@ def variants(reads: DataFrame, annotation: DataFrame, samples: int, min_mapq: in
 
 def shown(acgt: Column) -> Column:
     """`a/c/g/t`, or NA."""
-    return F.coalesce(F.array_join(F.transform(acgt, lambda c: F.regexp_replace(F.format_number(c, "0.####"), r"\.$", "")), "/"), F.lit("NA"))
+    return F.coalesce(F.array_join(F.transform(acgt, lambda c: F.regexp_replace(F.format_string("%.4f", c), r"\.?0+$", "")), "/"), F.lit("NA"))

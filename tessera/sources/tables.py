@@ -29,8 +29,11 @@ def read_tsv(spark: SparkSession, path: str | list[str], columns: dict[str, str]
         good = F.lit(False)
         for h in allowed:
             good = good | F.col("value").startswith(h)
-        lines = lines.where(F.when((F.col("line_no") == 0) & ~good, F.raise_error(F.concat(F.lit("unexpected header: "), "value"))).otherwise(F.lit(True)))
-    rows = lines.where((F.col("line_no") >= skip) & (F.col("value") != "")).withColumn("f", _fields())
+        # one condition: of two, the one that drops the header could go first
+        checked = F.when((F.col("line_no") == 0) & ~good, F.raise_error(F.concat(F.lit("unexpected header: "), "value")).cast("boolean")).otherwise(F.lit(False))
+    else:
+        checked = F.lit(False)
+    rows = lines.where(F.when(F.col("line_no") < skip, checked).otherwise(F.col("value") != "")).withColumn("f", _fields())
     return rows.select(*(_value(F.get("f", F.lit(i)), kind).alias(name) for i, (name, kind) in enumerate(columns.items())))
 
 
