@@ -97,8 +97,9 @@ def fit_glm(x: np.ndarray, y: np.ndarray, binomial: bool, rounds: int = 100, tol
                 if abs(dev - last) < tol:
                     break
                 last = dev
-            if dev < 1e-4:
-                return none  # separated
+            eta = x @ beta
+            if not (0 < y.sum() < len(y)) or eta[y == 1].min() > eta[y == 0].max():
+                return none  # separated: no finite maximum
             cov = np.linalg.pinv((x * (mu * (1 - mu))[:, None]).T @ x)
         se = math.sqrt(cov[1, 1])
         if not (math.isfinite(beta[1]) and se > 0 and math.isfinite(se)):
