@@ -40,7 +40,7 @@ def has_letter(text: str) -> bool:
 
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed n-grams that occur and 1 + log of how often."""
+    """Hashed n-grams that occur, and how often."""
     data = _BLANKS.sub(b" ", b" " + text.lower().encode("utf-8", "replace").translate(_LETTERS) + b" ")
     b = np.frombuffer(data, np.uint8).astype(np.uint32)
     two = b[:-1] * np.uint32(257) + b[1:]
@@ -48,7 +48,7 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     both = np.concatenate((two, three)) * np.uint32(2654435761)
     count = np.bincount(both >> np.uint32(32 - 12), minlength=DIM)
     at = np.flatnonzero(count)
-    return at, 1 + np.log(count[at])
+    return at, count[at].astype(float)
 
 
 def vector(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +105,7 @@ def fit(docs: DataFrame, train: Column) -> Model | None:
     if not languages:
         return None
     n = sum(languages.values())
-    idf = np.log((n + 1) / (df + 1)) + 0.1
+    idf = np.log((n + 1) / (df + 1)) + 1
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
