@@ -24,7 +24,7 @@ RULES: tuple[tuple[str, str], ...] = (
     ("repeated_windows", "100 * n_repeat_words > 50 * n_words"),
     ("word_length", "word_chars < 2 * n_words OR word_chars > 15 * n_words"),
     ("symbols", "10 * n_symbols > 3 * n_words"),
-    ("duplicate_lines", "10 * n_dup_lines > 3 * n_lines"),
+    ("duplicate_lines", "2 * n_dup_lines > n_lines"),
     ("capitals", "2 * n_capitals > word_chars"),
     ("exclamations", "5 * n_exclamations > n_words"),
     ("digits", "3 * n_digits > word_chars"),
