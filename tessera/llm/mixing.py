@@ -26,7 +26,7 @@ import random
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, materialize
 
 #: Rows of one source and size class that should meet in a task, at most about.
 BUCKET_ROWS = 4_000_000
@@ -57,8 +57,8 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, seed: int = 11) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken of each document."""
     offset = random.Random(seed).random()
-    sized = sizes(docs)
-    rows = docs.count()
+    sized = materialize(sizes(docs), "sizes")  # three passes need it; the texts are read once
+    rows = sized.count()
     residues = 64
     while rows // residues > BUCKET_ROWS:
         residues *= 2
