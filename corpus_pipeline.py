@@ -30,7 +30,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
-    return decontam.flag(docs, decontam.fit(docs, table(spark, sf_dir, "benchmark")), keep=True)
+    return decontam.flag(docs, table(spark, sf_dir, "benchmark"), keep=True)
 
 
 def redact_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,9 +8,11 @@ a prefix shingle is a candidate for the windows of that prefix; the shingle's
 offset within the window bounds the start, and start and length must fit the
 document. What is left is verified word by word.
 
-The benchmark side is sent to the executors in blocks of a bounded number of
-windows, and every block is matched against all documents, so a benchmark of any
-size is handled without shuffling a text.
+The benchmark is read in blocks of a bounded number of windows, and a block is what
+goes to every executor. With one block a document's row is finished where it is read.
+A larger benchmark is matched block after block against all documents: each pass
+writes its hits, which meet by document afterwards, so neither the driver nor a task
+ever holds more than a block.
 
 Edge cases: a null or wordless text has no words and no hits; an item without
 words never occurs; repeated item rows count once by item_id (rows that share an
@@ -21,6 +23,7 @@ side gives no hits. All columns of the documents pass through `flag` untouched.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import materialize, maybe_broadcast
+
 #: Windows in a block that is sent to every executor.
 BLOCK_WINDOWS = 200_000
 #: Bytes that are no word character become blanks, capitals become small.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-NO_ITEMS = hashlib.sha256(b"").hexdigest()
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -146,40 +150,35 @@ def blocks(items: DataFrame, window: int, shingle: int, size: int = BLOCK_WINDOW
         if held >= size:
             yield Block(rows, window, shingle)
             rows, held = [], 0
-    yield Block(rows, window, shingle)
+    if rows:
+        yield Block(rows, window, shingle)
 
 
-def fit(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 3) -> list[Block]:
-    """The blocks, with prefixes chosen by the shingles' counts over all documents."""
-    out = list(blocks(items, window, shingle))
+def fit(docs: DataFrame, block: Block) -> Block:
+    """Chooses the block's prefixes by its shingles' counts over all documents."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = [{k: np.zeros(len(s), np.int64) for k, s in b.shingles.items()} for b in out]
+        totals = {k: np.zeros(len(s), np.int64) for k, s in block.shingles.items()}
         for batch in batches:
             for t in batch.column(0).cast(pa.binary()).to_pylist():
-                tokens = words(t)
-                for b, x in zip(out, totals, strict=True):
-                    b.count(b.encode(tokens), x)
-        for i, x in enumerate(totals):
-            for k, n in x.items():
-                at = np.flatnonzero(n)
-                yield pa.RecordBatch.from_pydict({"block": np.full(len(at), i), "size": np.full(len(at), k), "at": at, "n": n[at]})
-
-    seen = docs.select("text").mapInArrow(kernel, "block long, size long, at long, n long").groupBy("block", "size", "at").agg(F.sum("n").alias("n"))
-    totals = [{k: np.zeros(len(s), np.int64) for k, s in b.shingles.items()} for b in out]
-    for r in seen.toLocalIterator(prefetchPartitions=True):  # no more rows than the benchmark has shingles
-        totals[r["block"]][r["size"]][r["at"]] = r["n"]
-    for b, x in zip(out, totals, strict=True):
-        b.choose(x)
-    return out
+                block.count(block.encode(words(t)), totals)
+        for k, n in totals.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_pydict({"size": np.full(len(at), k), "at": at, "n": n[at]})
+
+    seen = docs.select("text").mapInArrow(kernel, "size long, at long, n long").groupBy("size", "at").agg(F.sum("n").alias("n"))
+    totals = {k: np.zeros(len(s), np.int64) for k, s in block.shingles.items()}
+    for r in seen.toLocalIterator(prefetchPartitions=True):  # no more rows than the block has shingles
+        totals[r["size"]][r["at"]] = r["n"]
+    block.choose(totals)
+    return block
 
 
 _FOUND = [("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())]
 
 
-def flag(docs: DataFrame, model: list[Block], keep: bool = False) -> DataFrame:
-    """Adds n_words, n_hit, n_items, items_sha256 and contaminated; with `keep`
-    gives the uncontaminated documents as they came instead."""
+def _flag_block(docs: DataFrame, block: Block | None, keep: bool) -> DataFrame:
+    """The whole answer, if the benchmark is one block (or none)."""
     at = docs.columns.index("text")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,11 +186,10 @@ def flag(docs: DataFrame, model: list[Block], keep: bool = False) -> DataFrame:
             out: list[list] = [[] for _ in _FOUND]
             for t in batch.column(at).cast(pa.binary()).to_pylist():
                 tokens = words(t)
-                hit, names = np.zeros(len(tokens), bool), set()
-                for b in model:
-                    names.update(b.names[i] for i in b.match(b.encode(tokens), hit))
+                hit = np.zeros(len(tokens), bool)
+                names = [block.names[i] for i in block.match(block.encode(tokens), hit)] if block else []
                 n = int(hit.sum())
-                for column, x in zip(out, (len(tokens), n, len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest() if names else NO_ITEMS, n > 0), strict=True):
+                for column, x in zip(out, (len(tokens), n, len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), n > 0), strict=True):
                     column.append(x)
             if keep:
                 yield batch.filter(pa.array([not x for x in out[-1]], pa.bool_()))
@@ -202,3 +200,60 @@ def flag(docs: DataFrame, model: list[Block], keep: bool = False) -> DataFrame:
         return docs.mapInArrow(kernel, docs.schema)
     added = T.StructType().add("n_words", "long").add("n_hit", "long").add("n_items", "long").add("items_sha256", "string").add("contaminated", "boolean")
     return docs.mapInArrow(kernel, T.StructType(docs.schema.fields + added.fields))
+
+
+def _hits(keyed: DataFrame, block: Block) -> DataFrame:
+    """(rid, item) and (rid, start, end) rows of the documents that a block hits: item is
+    null in the latter, which are the runs of hit words."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for rid, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                tokens = words(t)
+                hit = np.zeros(len(tokens), bool)
+                names = [block.names[i] for i in block.match(block.encode(tokens), hit)]
+                if names:
+                    edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
+                    rows += [(rid, n, None, None) for n in names] + [(rid, None, s, e) for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["rid", "item", "start", "end"])
+
+    return keyed.select("rid", "text").mapInArrow(kernel, "rid long, item string, start long, end long")
+
+
+def _flag_many(docs: DataFrame, found: Iterator[Block], keep: bool) -> DataFrame:
+    """The same for more blocks: a pass for each, then hits meet by document."""
+    keyed = docs.withColumn("rid", F.monotonically_increasing_id())
+    hits = None
+    for block in found:
+        own = materialize(_hits(keyed, fit(docs, block)), "hits")
+        hits = own if hits is None else hits.unionByName(own)
+    if keep:
+        gone = materialize(hits.select("rid").distinct(), "hit-docs")
+        return keyed.join(maybe_broadcast(gone, gone.count()), "rid", "left_anti").select(docs.columns)
+    runs = F.array_sort(F.collect_list(F.when(F.col("start").isNotNull(), F.struct("start", "end"))))
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("n"))
+    step = lambda a, r: F.struct(F.greatest(a["at"], r["end"]).alias("at"), (a["n"] + F.greatest(F.lit(0), r["end"] - F.greatest(a["at"], r["start"]))).alias("n"))
+    by = hits.groupBy("rid").agg(F.array_sort(F.collect_set("item")).alias("items"), F.aggregate(runs, zero, step, lambda a: a["n"]).alias("n_hit"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(words(t)) for t in b.column(1).cast(pa.binary()).to_pylist()], pa.int64())], ["rid", "n_words"])
+
+    sizes = keyed.select("rid", "text").mapInArrow(count, "rid long, n_words long")
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    return keyed.join(sizes, "rid").join(by, "rid", "left").select(
+        *docs.columns, "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"),
+    )
+
+
+def flag(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 3, keep: bool = False, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """Adds n_words, n_hit, n_items, items_sha256 and contaminated; with `keep` gives the
+    uncontaminated documents as they came instead."""
+    found = blocks(items, window, shingle, block_windows)
+    first, second = next(found, None), next(found, None)
+    if second is None:
+        return _flag_block(docs, fit(docs, first) if first else None, keep)
+    return _flag_many(docs, itertools.chain((first, second), found), keep)

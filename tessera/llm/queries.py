@@ -29,7 +29,7 @@ def op3_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    return decontam.flag(docs.select("doc_id", "text"), decontam.fit(docs, items)).drop("text")
+    return decontam.flag(docs.select("doc_id", "text"), items).drop("text")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
