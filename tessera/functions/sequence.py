@@ -23,6 +23,12 @@ def kmers(seq: Column, k: int) -> Column:
     return F.regexp_extract_all(seq, F.lit(f"(?=([ACGT]{{{k}}}))"), F.lit(1))
 
 
+def canonical_kmers(seq: Column, k: int) -> Column:
+    """The canonical form of each frame: frames of the sequence beside those of its
+    complement, which is made once."""
+    return F.zip_with(kmers(seq, k), F.reverse(kmers(reverse_complement(seq), k)), lambda a, b: F.least(a, b))
+
+
 def kmer_classes(k: int = 4) -> list[str]:
     """The canonical k-mers over ACGT, 136 for k = 4, in alphabetical order."""
     table = str.maketrans("ACGT", "TGCA")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import canonical, kmers
+from ..functions.sequence import canonical_kmers
 
 
 def cluster_score(completeness: Column, contamination: Column, n50: Column) -> Column:
@@ -22,8 +24,9 @@ def best_of_species(scored: DataFrame) -> DataFrame:
 
 def sketches(seqs: DataFrame, group: str, k: int = 21, size: int = 1000, seed: int = 42) -> DataFrame:
     """(group, hash): the `size` smallest hashes of a group's canonical k-mers."""
-    hashes = seqs.select(group, F.explode(kmers(F.col("seq"), k)).alias("w"))
-    hashes = hashes.select(group, F.xxhash64(canonical(F.col("w")), F.lit(seed)).alias("hash")).distinct()
+    # a row keeps its smallest hashes before anything is shuffled
+    own = F.slice(F.array_sort(F.array_distinct(F.transform(canonical_kmers(F.col("seq"), k), lambda w: F.xxhash64(w, F.lit(seed))))), 1, size)
+    hashes = seqs.select(group, F.explode(own).alias("hash")).distinct()
     w = Window.partitionBy(group).orderBy("hash")
     return hashes.withColumn("r", F.row_number().over(w)).where(F.col("r") <= size).drop("r")
 
@@ -32,15 +35,23 @@ def similar_pairs(sketch: DataFrame, group: str, k: int = 21, size: int = 1000,
     """(src, dst, jaccard, distance): pairs, src < dst, whose estimated distance
     -ln(2j / (1 + j)) / k is at most 1 - ani.
 
-    Only pairs with a common hash are made. The Jaccard estimate takes shared hashes
-    among the `size` smallest of the union, which both sketches hold."""
-    a, b = sketch.select(F.col(group).alias("src"), "hash"), sketch.select(F.col(group).alias("dst"), "hash")
-    shared = a.join(b, "hash").where("src < dst").groupBy("src", "dst").agg(F.array_sort(F.collect_list("hash")).alias("common"))
+    Only pairs with a common hash are made, and they are counted before any sketch is
+    attached: a pair needs so many common hashes as the least Jaccard asks of the
+    larger sketch. The estimate takes shared hashes among the `size` smallest of the
+    union, which both sketches hold."""
+    top = math.exp(-k * (1 - ani))
+    least = top / (2 - top)
+    n = sketch.groupBy(group).agg(F.count("*").alias("n"))
+    own = sketch.join(n, group)
+    a, b = own.select(F.col(group).alias("src"), F.col("n").alias("n1"), "hash"), own.select(F.col(group).alias("dst"), F.col("n").alias("n2"), "hash")
+    counted = a.join(b, "hash").where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("c"), F.greatest(F.max("n1"), F.max("n2")).alias("m"))
+    shared = counted.where(F.col("c") >= least * F.least(F.lit(size), F.col("m"))).select("src", "dst")
     lists = sketch.groupBy(group).agg(F.array_sort(F.collect_list("hash")).alias("hs"))
     both = shared.join(lists.select(F.col(group).alias("src"), F.col("hs").alias("h1")), "src").join(lists.select(F.col(group).alias("dst"), F.col("hs").alias("h2")), "dst")
     union = F.slice(F.array_sort(F.array_union("h1", "h2")), 1, size)
-    j = F.size(F.filter("common", lambda h: h <= F.element_at(F.col("u"), -1))) / F.size("u")
-    pairs = both.withColumn("u", union).select("src", "dst", j.alias("jaccard"))
+    # the union is bound once, as the only element of an array
+    j = F.element_at(F.transform(F.array(union), lambda u: F.size(F.array_intersect(F.array_intersect("h1", "h2"), u)) / F.size(u)), 1)
+    pairs = both.select("src", "dst", j.alias("jaccard"))
     distance = F.when(F.col("jaccard") > 0, F.greatest(F.lit(0.0), -F.log(2 * F.col("jaccard") / (1 + F.col("jaccard"))) / k)).otherwise(1.0)
     return pairs.withColumn("distance", distance).where(F.col("distance") <= 1 - ani)
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequence
-from .base import Plans, table
+from .base import Plans, spread, table
 
 PLANS = Plans()
 LETTERS, BASES = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 2 * "ACGTACGTACGTACGTACGTACGTAC"
@@ -18,7 +18,7 @@ c AS (SELECT seq_id, least(w, {_RC.format("w")}) AS kmer, count(*)::BIGINT AS n
 
 
 def _seqs(spark: SparkSession, sf_dir: str, by: str = "doc_id") -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("text is not null")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).where("text is not null")
     return d.select((F.coalesce("lang", F.lit("")) if by == "lang" else F.col(by)).alias("seq_id"), F.translate("text", LETTERS, BASES).alias("seq"))
 
 
