@@ -10,5 +10,5 @@ def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "10 min
     """(start, event_type, n, total) of tumbling windows; events later than the watermark
     are dropped. Works on batch and streaming frames alike."""
     w = F.window("ts", size)
-    rows = events.withWatermark("ts", late).groupBy(w.alias("w"), "event_type")
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(w.alias("w"), "event_type")
     return rows.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
