@@ -37,7 +37,7 @@ LEAST_G2, LEAST_RATIO, STEMS = 20.0, 8.0, (4, 5)
 LEXICONS = {
     "insult": "idiot moron imbecile loser fool jerk clown scum trash vermin filth parasite coward creep freak pig rat weasel scumbag dumbass bastard".split(),
     "slight": "stupid dumb pathetic worthless disgusting ugly useless ridiculous miserable despicable vile repulsive brainless clueless incompetent gutless".split(),
-    "threat": "kill murder strangle stab shoot hang burn hurt die".split(),
+    "threat": "kill murder strangle stab shoot hang burn hurt".split(),
     "profanity": "damn shit crap ass bitch fuck fucking bullshit".split(),
     "hate": "hate despise loathe detest subhuman inferior".split(),
     "foreign": "trottel dumm abschaum versager idioten widerlich wertlos crétin stupide ordure minable imbécile dégoûtant idiota estúpido basura imbécil asqueroso inútil".split(),
@@ -96,6 +96,14 @@ class Lexicon:
         return hits, "".join("-0+"[v + 1] for v in votes)
 
 
+def distinct_texts(sample: DataFrame) -> DataFrame:
+    """One document of each group of copies in the bounded sample: those whose two
+    smallest word hashes agree. Words of a copied text would otherwise count as if many
+    authors used them."""
+    hashes = F.transform(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: F.xxhash64(w))
+    return sample.withColumn("_sign", F.slice(F.array_sort(F.array_distinct(hashes)), 1, 2)).groupBy("label", "_sign").agg(F.min(F.struct("doc_id", "text")).alias("d")).select("d.doc_id", "d.text", "label")
+
+
 def learn_lexicon(sample: DataFrame, counts: dict) -> Lexicon:
     """Words and stems that labelled toxic documents have far more often."""
 
@@ -203,7 +211,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, decay: float, rounds: int = 30) -> n
 def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic", per_class: int = PER_CLASS) -> Model:
     """Labels and vote patterns come only from rows where `train` (of doc_id) holds."""
     sample, counts = labelled_sample(docs, labels, label, train, per_class)
-    sample = materialize(sample, "tox-sample")
+    sample = materialize(distinct_texts(sample), "tox-sample")
     lexicon = learn_lexicon(sample, counts)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
