@@ -123,18 +123,38 @@ def glm(calls: DataFrame, phenotype: dict[str, float], covariates: dict[str, lis
     width = len(next(iter(covariates.values()), []))
     key = ["classification", "chrom", "pos", "allele"]
 
-    def kernel(k: tuple, g: pd.DataFrame) -> pd.DataFrame:
+    def test(k: tuple, g: pd.DataFrame) -> tuple | None:
         g = g[g["sample"].isin(phenotype)].sort_values("sample")
         y = np.array([phenotype[s] for s in g["sample"]])
         enough = (np.sum(y == 0) >= zeros and np.sum(y == 1) >= ones) if binomial else len(y) >= least
         if not len(y) or not enough:
-            return pd.DataFrame(columns=[*key, "beta", "se", "p"])
+            return None
         c = np.array([covariates.get(s, [0.0] * width) for s in g["sample"]]).reshape(len(y), width)
         x = np.column_stack((np.ones(len(y)), g["f"], g["abundance"], c))
-        return pd.DataFrame([(*k, *fit_glm(x, y, binomial))], columns=[*key, "beta", "se", "p"])
+        return (*k, *fit_glm(x, y, binomial))
+
+    def fitted(f: pd.DataFrame) -> pd.DataFrame:
+        rows = [test(k, g) for k, g in f.groupby(key, sort=False, dropna=False)]
+        return pd.DataFrame([r for r in rows if r], columns=[*key, "beta", "se", "p"])
+
+    def kernel(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # rows of a variant are neighbours; the last one of a batch may go on in the next
+        rest = None
+        for f in frames:
+            f = f if rest is None else pd.concat((rest, f), ignore_index=True)
+            if not len(f):
+                continue
+            new = f[key].ne(f[key].shift()).any(axis=1).to_numpy()
+            cut = int(np.flatnonzero(new)[-1])
+            rest = f.iloc[cut:]
+            if cut:
+                yield fitted(f.iloc[:cut])
+        if rest is not None:
+            yield fitted(rest)
 
     kinds = dict(calls.dtypes)
-    return calls.groupBy(*key).applyInPandas(kernel, ", ".join(f"{c} {kinds[c]}" for c in key) + ", beta double, se double, p double")
+    near = calls.select(*key, "sample", "f", "abundance").repartition(*key).sortWithinPartitions(*key)
+    return near.mapInPandas(kernel, ", ".join(f"{c} {kinds[c]}" for c in key) + ", beta double, se double, p double")
 
 
 def gaussian_by_sums(rows: DataFrame, by: list[str], x: str, y: str, least: float = 0.0) -> DataFrame:

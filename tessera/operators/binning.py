@@ -26,9 +26,9 @@ def best_match(cells: DataFrame, genomes: DataFrame) -> DataFrame:
     """(cluster_id, genome_id, recall, precision): the genome that a cluster holds the
     largest part of; the first by id on ties."""
     both = cells.join(genomes, "genome_id").withColumn("recall", F.col("bp") / F.col("genome_bp"))
-    top = both.groupBy("cluster_id").agg(F.max("recall").alias("recall"), F.sum("bp").alias("cluster_bp"))
-    hit = both.join(top, ["cluster_id", "recall"]).groupBy("cluster_id").agg(F.min(F.struct("genome_id", "bp", "recall", "cluster_bp")).alias("b"))
-    return hit.select("cluster_id", "b.genome_id", "b.recall", (F.col("b.bp") / F.col("b.cluster_bp")).alias("precision"))
+    # the least struct is a partial aggregate: no cluster is sorted or joined again
+    top = both.groupBy("cluster_id").agg(F.min(F.struct((-F.col("recall")).alias("r"), "genome_id", "bp")).alias("b"), F.sum("bp").alias("cluster_bp"))
+    return top.select("cluster_id", "b.genome_id", (-F.col("b.r")).alias("recall"), (F.col("b.bp") / F.col("cluster_bp")).alias("precision"))
 
 
 def threshold_grid(scores: DataFrame, spark: SparkSession, recall: list[float], precision: list[float]) -> DataFrame:
