@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import map_texts, materialize
 
 #: Words whose counts go to every executor; words that are clustered by themselves;
 #: groups of the other words by ending; classes; most entries of a worker's buffers.
@@ -64,7 +64,7 @@ def count_words(docs: DataFrame) -> DataFrame:
                     yield out()
         yield out()
 
-    return docs.select("text").mapInArrow(kernel, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.select("text").transform(map_texts, kernel, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 8) -> np.ndarray:
@@ -196,11 +196,11 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
         yield pa.RecordBatch.from_pydict({"unit": np.arange(n), "c": seen})
 
     bigrams = np.zeros(n * n)
-    seen = docs.select("text").mapInArrow(pairs, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()  # units squared at most
+    seen = docs.select("text").transform(map_texts, pairs, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()  # units squared at most
     bigrams[seen.column("pair").to_numpy()] = seen.column("c").to_numpy()
     bigrams = bigrams.reshape(n, n)
     types = np.zeros(n)
-    for r in counts.select("word").mapInArrow(kinds, "unit long, c long").groupBy("unit").agg(F.sum("c").alias("c")).collect():
+    for r in counts.select("word").transform(map_texts, kinds, "unit long, c long").groupBy("unit").agg(F.sum("c").alias("c")).collect():
         types[r["unit"]] = r["c"]
     home = exchange(bigrams, min(CLASSES, n))
     k = int(home.max()) + 1
@@ -253,7 +253,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, held: Column) -> Dat
     names = ["rid", "doc_id", "held_out", "word", "tf", "n_tokens", "n_known", "kept", "chain"]
     kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out"))
-    rows = base.mapInArrow(kernel, "rid long, doc_id long, held_out boolean, word binary, tf long, n_tokens long, n_known long, kept double, chain double")
+    rows = base.transform(map_texts, kernel, "rid long, doc_id long, held_out boolean, word binary, tf long, n_tokens long, n_known long, kept double, chain double")
     rare = counts.where((F.col("c") < least) & (F.col("word") != F.lit(END)))
     joined = rows.join(rare, "word", "left")
     log = F.sum(F.coalesce("kept", F.lit(0.0)) + F.when(F.col("c").isNotNull(), F.col("tf") * F.log10(F.col("c") + 1.0)).otherwise(0.0))

@@ -15,6 +15,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__package__])
 
 #: Tables of at most this many rows may be broadcast; beyond it they are shuffled.
 BROADCAST_ROWS = 200_000
+#: Rows of an Arrow batch that holds texts.
+TEXT_ROWS = 1000
 #: Word characters for `[^\x20\x09-\x0D]+`, as Java and SQL patterns take it.
 WORD = r"[^\x20\x09-\x0D]+"
 #: The resolution of hash thresholds when a bounded sample is taken.
@@ -45,6 +47,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def map_texts(df: DataFrame, kernel, schema) -> DataFrame:
+    """mapInArrow over rows that hold whole texts: batches of fewer rows than Spark's
+    default, so that long texts take little memory on either side of the pipe."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > TEXT_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS)
+    return df.mapInArrow(kernel, schema)
+
+
 def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Marks `df` for broadcast if its counted rows are within the limit."""
     return F.broadcast(df) if rows <= limit else df

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, maybe_broadcast
+from .common import map_texts, materialize, maybe_broadcast
 
 #: Windows in a block that is sent to every executor.
 BLOCK_WINDOWS = 200_000
@@ -166,7 +166,7 @@ def fit(docs: DataFrame, block: Block) -> Block:
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_pydict({"size": np.full(len(at), k), "at": at, "n": n[at]})
 
-    seen = docs.select("text").mapInArrow(kernel, "size long, at long, n long").groupBy("size", "at").agg(F.sum("n").alias("n"))
+    seen = docs.select("text").transform(map_texts, kernel, "size long, at long, n long").groupBy("size", "at").agg(F.sum("n").alias("n"))
     totals = {k: np.zeros(len(s), np.int64) for k, s in block.shingles.items()}
     for r in seen.toLocalIterator(prefetchPartitions=True):  # no more rows than the block has shingles
         totals[r["size"]][r["at"]] = r["n"]
@@ -197,9 +197,9 @@ def _flag_block(docs: DataFrame, block: Block | None, keep: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, kind) for x, (_, kind) in zip(out, _FOUND, strict=True))], [*batch.schema.names, *(name for name, _ in _FOUND)])
 
     if keep:
-        return docs.mapInArrow(kernel, docs.schema)
+        return docs.transform(map_texts, kernel, docs.schema)
     added = T.StructType().add("n_words", "long").add("n_hit", "long").add("n_items", "long").add("items_sha256", "string").add("contaminated", "boolean")
-    return docs.mapInArrow(kernel, T.StructType(docs.schema.fields + added.fields))
+    return docs.transform(map_texts, kernel, T.StructType(docs.schema.fields + added.fields))
 
 
 def _hits(keyed: DataFrame, block: Block) -> DataFrame:
@@ -219,7 +219,7 @@ def _hits(keyed: DataFrame, block: Block) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["rid", "item", "start", "end"])
 
-    return keyed.select("rid", "text").mapInArrow(kernel, "rid long, item string, start long, end long")
+    return keyed.select("rid", "text").transform(map_texts, kernel, "rid long, item string, start long, end long")
 
 
 def _flag_many(docs: DataFrame, found: Iterator[Block], keep: bool) -> DataFrame:
@@ -241,7 +241,7 @@ def _flag_many(docs: DataFrame, found: Iterator[Block], keep: bool) -> DataFrame
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(words(t)) for t in b.column(1).cast(pa.binary()).to_pylist()], pa.int64())], ["rid", "n_words"])
 
-    sizes = keyed.select("rid", "text").mapInArrow(count, "rid long, n_words long")
+    sizes = keyed.select("rid", "text").transform(map_texts, count, "rid long, n_words long")
     items = F.coalesce("items", F.array().cast("array<string>"))
     return keyed.join(sizes, "rid").join(by, "rid", "left").select(
         *docs.columns, "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.size(items).cast("long").alias("n_items"),

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SAMPLE_GRAIN
+from .common import SAMPLE_GRAIN, map_texts
 
 #: Hashed n-grams; training documents of a language that clustering takes at most,
 #: about; centroids of a language; share of a centroid's members beyond its radius.
@@ -95,7 +95,7 @@ def fit(docs: DataFrame, train: Column) -> Model | None:
                 seen[lang] = seen.get(lang, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array([None] * DIM + list(seen), pa.string()), pa.array(np.append(np.arange(DIM), [-1] * len(seen)), pa.int64()), pa.array(np.append(df, list(seen.values())), pa.int64())], ["lang", "at", "n"])
 
-    counted = rows.select("text", "lang").mapInArrow(frequencies, "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).collect()
+    counted = rows.select("text", "lang").transform(map_texts, frequencies, "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).collect()
     df, languages = np.zeros(DIM), {}
     for r in counted:  # DIM rows, and one for each language
         if r["lang"] is None:
@@ -116,7 +116,7 @@ def fit(docs: DataFrame, train: Column) -> Model | None:
     for lang, rows_of in sorted(languages.items()):
         share = F.when(F.col("lang") == lang, int(SAMPLE_GRAIN * min(1.0, PER_LANGUAGE / rows_of))).otherwise(share)
     picked = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(SAMPLE_GRAIN)) < share)
-    got = picked.select("doc_id", "text", "lang").mapInArrow(vectors, "doc_id long, lang string, at binary, v binary").toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending")])
+    got = picked.select("doc_id", "text", "lang").transform(map_texts, vectors, "doc_id long, lang string, at binary, v binary").toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending")])
     names = got.column("lang").to_numpy(zero_copy_only=False)
     out: list[tuple[np.ndarray, int, float]] = []
     kept = sorted(languages)
@@ -159,4 +159,4 @@ def predict(docs: DataFrame, model: Model | None, block: int = 256) -> DataFrame
                     outside.append(not known[i] or s < float(model.radius[j]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(outside, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(kernel, "doc_id long, lang_pred string, score double, rejected boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(map_texts, kernel, "doc_id long, lang_pred string, score double, rejected boolean")

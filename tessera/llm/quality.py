@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
-from .common import labelled_sample
+from .common import labelled_sample, map_texts
 
 #: Words in a passage; labelled documents of each class that training takes at most.
 PASSAGE, PER_CLASS = 100, 2500
@@ -146,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "quality
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([v.astype(np.float16).tobytes() for v in x], pa.binary())], ["doc_id", "label", "x"])
 
     total = counts.get(0, 0) + counts.get(1, 0)
-    rows = picked.mapInArrow(kernel, "doc_id long, label int, x binary").toArrow().sort_by("doc_id")
+    rows = picked.transform(map_texts, kernel, "doc_id long, label int, x binary").toArrow().sort_by("doc_id")
     y = rows.column("label").to_numpy().astype(float)
     if not len(y) or y.min() == y.max():
         return Constant(counts.get(1, 0) / total if total else 0.5)
@@ -180,5 +180,5 @@ def score_documents(docs: DataFrame, model: Attention | Constant, threshold: flo
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*b.schema.names, "score", "predicted"])
 
     if keep:
-        return docs.mapInArrow(kernel, docs.schema)
-    return docs.mapInArrow(kernel, T.StructType(docs.schema.fields + T.StructType().add("score", "double").add("predicted", "integer").fields))
+        return docs.transform(map_texts, kernel, docs.schema)
+    return docs.transform(map_texts, kernel, T.StructType(docs.schema.fields + T.StructType().add("score", "double").add("predicted", "integer").fields))

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_broadcast
+from .common import map_texts, materialize, maybe_broadcast
 
 #: Nodes that one sub-trie should hold on average, and the deepest cut.
 SUBTRIE, DEEPEST = 8192, 20
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
             fps = [fingerprint(t, shingle, seed) for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(kernel, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(map_texts, kernel, "doc_id long, fp long")
 
 
 def _expand(lo1, hi1, lo2, hi2):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, materialize
+from .common import labelled_sample, map_texts, materialize
 
 #: Labelled documents of each class taken at most, about; learned words and stems.
 PER_CLASS, LEARNED_WORDS, LEARNED_STEMS = 4000, 400, 200
@@ -118,7 +118,7 @@ def learn_lexicon(sample: DataFrame, counts: dict) -> Lexicon:
         rows = list(seen.items())
         yield pa.RecordBatch.from_arrays([pa.array([k for (k, _, _), _ in rows], pa.int64()), pa.array([w for (_, w, _), _ in rows], pa.binary()), pa.array([n * (y == 0) for (_, _, y), n in rows], pa.int64()), pa.array([n * (y == 1) for (_, _, y), n in rows], pa.int64())], ["size", "word", "clean", "toxic"])
 
-    stats = sample.select("text", "label").mapInArrow(kernel, "size long, word binary, clean long, toxic long").groupBy("size", "word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    stats = sample.select("text", "label").transform(map_texts, kernel, "size long, word binary, clean long, toxic long").groupBy("size", "word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     stats = materialize(stats, "tox-words")
     total = stats.where("size = -1").first()
     out = Lexicon()
@@ -226,11 +226,11 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic",
             x = [features(h, v, lexicon.width).astype(np.float16).tobytes() for h, v in found]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([v for _, v in found], pa.string()), pa.array(x, pa.binary())], ["doc_id", "label", "votes", "x"])
 
-    voted = docs.where(train).select("text").mapInArrow(vote, "votes string, n long").groupBy("votes").agg(F.sum("n").alias("n"))
+    voted = docs.where(train).select("text").transform(map_texts, vote, "votes string, n long").groupBy("votes").agg(F.sum("n").alias("n"))
     patterns = {r["votes"]: r["n"] for r in voted.collect()}
     share = (counts.get(1, 0) + 1) / (counts.get(0, 0) + counts.get(1, 0) + 2)
     known = label_model(patterns, share)
-    got = sample.select("doc_id", "text", "label").mapInArrow(look, "doc_id long, label int, votes string, x binary").toArrow().sort_by("doc_id")
+    got = sample.select("doc_id", "text", "label").transform(map_texts, look, "doc_id long, label int, votes string, x binary").toArrow().sort_by("doc_id")
     x = np.array([np.frombuffer(b, np.float16) for b in got.column("x").to_pylist()], float).reshape(-1, lexicon.width + 1)
     y = got.column("label").to_numpy().astype(float)
     soft = np.array([known.posterior.get(v, share) for v in got.column("votes").to_pylist()])
@@ -262,4 +262,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             s = np.array([x for x, _ in out])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32)), pa.array([v for _, v in out], pa.string())], ["doc_id", "score", "predicted", "votes"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(kernel, "doc_id long, score double, predicted int, votes string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(map_texts, kernel, "doc_id long, score double, predicted int, votes string")
