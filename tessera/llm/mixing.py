@@ -66,9 +66,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0
     sized = sized.withColumn("step", step)
     sized = sized.withColumn("step", F.when(F.col("step") % 2 == 0, F.col("step")).otherwise(1000 - F.col("step"))).withColumn("residue", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(residues)))
     bucket = ["nowhere", "source", "step", "residue"]
-    ahead = F.sum("n").over(Window.partitionBy("nowhere", "source").orderBy("step", "residue").rowsBetween(Window.unboundedPreceding, -1))
-    counts = sized.groupBy(*bucket).agg(F.count("*").alias("n")).select(*bucket, F.coalesce(ahead, F.lit(0)).alias("ahead"))
-    counts = counts.join(targets(sized, weights, most), ["nowhere", "source"])
+    earlier = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    counts = sized.groupBy(*bucket).agg(F.count("*").alias("n"))
+    # the rows before a bucket: those of smaller steps, and of smaller residues in its step
+    steps = counts.groupBy("nowhere", "source", "step").agg(F.sum("n").alias("n"))
+    steps = steps.select("nowhere", "source", "step", F.coalesce(F.sum("n").over(earlier("nowhere", "source").orderBy("step")), F.lit(0)).alias("before"))
+    inner = F.coalesce(F.sum("n").over(earlier("nowhere", "source", "step").orderBy("residue")), F.lit(0))
+    counts = counts.withColumn("inner", inner).join(steps.join(targets(sized, weights, most), ["nowhere", "source"]), ["nowhere", "source", "step"]).withColumn("ahead", F.col("before") + F.col("inner"))
     placed = sized.join(counts, bucket).withColumn("at", F.col("ahead") + F.row_number().over(Window.partitionBy(*bucket).orderBy("size", "doc_id")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     placed = placed.withColumn("rate", rate)
