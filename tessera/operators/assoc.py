@@ -200,7 +200,9 @@ def clipped_log_p(p: Column, most: float = 20.0) -> Column:
 def qq_points(tests: DataFrame, p: str = "p", most: float = 20.0) -> DataFrame:
     """(p, observed, expected): expected is -log10((rank - 0.5) / n), ranks by rising p.
     Ranks come from range partitions: counts before each, then a rank within."""
-    spread = tests.select(p).repartitionByRange(p).withColumn("_part", F.spark_partition_id())
+    # a number of partitions that is given is not changed at run time: both uses agree
+    n = int(tests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = tests.select(p).repartitionByRange(n, p).withColumn("_part", F.spark_partition_id())
     sizes = spread.groupBy("_part").agg(F.count("*").alias("m"))
     ahead = sizes.select("_part", F.coalesce(F.sum("m").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("m").over(Window.partitionBy()).alias("n"))
     ranked = spread.withColumn("r", F.row_number().over(Window.partitionBy("_part").orderBy(p))).join(F.broadcast(ahead), "_part")

@@ -53,6 +53,19 @@ def kmer_log_probability(distance, log_a, log_b):
     return -np.logaddexp(0.0, a * distance + b)
 
 
+def kmer_affinity(distance: Column, length_a: Column, length_b: Column) -> Column:
+    """The same as a column, from lengths in bases."""
+    log = lambda c: F.log10(F.least(F.lit(LONGEST), F.greatest(F.lit(SHORTEST), c.cast("double"))))
+    la, lb = log(length_a), log(length_b)
+    short, long = F.least(la, lb), F.greatest(la, lb)
+    a, b = F.lit(BIAS[0]), F.lit(BIAS[1])
+    for p, (fa, fb) in enumerate(COEFFICIENTS, start=1):
+        powers = (F.pow(short, F.lit(float(p))), F.pow(long, F.lit(float(p))), F.pow(short * long, F.lit(float(p))))
+        a, b = (x + sum((c * F.lit(f) for c, f in zip(powers, fs, strict=True)), F.lit(0.0)) for x, fs in ((a, fa), (b, fb)))
+    z = a * distance + b
+    return F.when(z > 30, -z).otherwise(-F.log1p(F.exp(z)))
+
+
 def coverage_log_probability(mean_a, var_a, mean_b, var_b):
     """Mean over samples (last axis) of the log Bhattacharyya coefficient of two normals."""
     both = var_a + var_b

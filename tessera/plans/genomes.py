@@ -20,10 +20,8 @@ best AS (SELECT cluster_id, genome_id, bp / genome_bp AS recall, bp / cluster_bp
 
 def _bins(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A line of an order is a sequence, the order its bin, the part its genome."""
-    line = table(spark, sf_dir, "lineitem")
-    seq = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    rows = line.select(seq.alias("seq_id"), F.col("l_orderkey").alias("cluster_id"), F.col("l_partkey").alias("genome_id"), F.col("l_quantity").alias("length"))
-    return rows.select("cluster_id", "genome_id", "length"), rows.select("genome_id", "length")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("cluster_id"), F.col("l_partkey").alias("genome_id"), F.col("l_quantity").alias("length"))
+    return rows, rows.select("genome_id", "length")
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:

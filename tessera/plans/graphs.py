@@ -38,6 +38,35 @@ def coverage_affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("src", "dst", F.round(graph.coverage_affinity(F.col("m1"), F.col("v1"), F.col("m2"), F.col("v2")), 7).alias("affinity"))
 
 
+_POLY = {name: f"{graph.BIAS[i]!r}::DOUBLE" + "".join(f" + pow(s, {p}) * {c[i][0]!r}::DOUBLE + pow(g, {p}) * {c[i][1]!r}::DOUBLE + pow(s * g, {p}) * {c[i][2]!r}::DOUBLE" for p, c in enumerate(graph.COEFFICIENTS, start=1)) for i, name in enumerate("ab")}
+
+
+@PLANS.add(f"""WITH {_STATS}, n AS (SELECT l_suppkey AS id, count(*) * 100 AS len FROM lineitem GROUP BY 1),
+p AS (SELECT x.id AS src, y.id AS dst, abs(x.m - y.m) / 200 AS d, least(log10(least(102000, greatest(200, nx.len))), log10(least(102000, greatest(200, ny.len)))) AS s, greatest(log10(least(102000, greatest(200, nx.len))), log10(least(102000, greatest(200, ny.len)))) AS g
+ FROM st x JOIN st y ON x.k = y.k AND x.id < y.id JOIN n nx ON nx.id = x.id JOIN n ny ON ny.id = y.id), z AS (SELECT src, dst, ({_POLY["a"]}) * d + ({_POLY["b"]}) AS z FROM p)
+SELECT src, dst, round(CASE WHEN z > 30 THEN -z ELSE -ln(1 + exp(z)) END, 5) AS affinity FROM z""")
+def kmer_affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The length-dependent k-mer affinity of suppliers of a nation, their mean
+    quantities standing in for profiles."""
+    line = table(spark, sf_dir, "lineitem")
+    st = line.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("s_nationkey").alias("k"), F.col("l_suppkey").alias("id")).agg(F.avg("l_quantity").alias("m"), (F.count("*") * 100).alias("len")).where("len > 100")
+    a, b = st.select("k", F.col("id").alias("src"), F.col("m").alias("m1"), F.col("len").alias("n1")), st.select("k", F.col("id").alias("dst"), F.col("m").alias("m2"), F.col("len").alias("n2"))
+    d = F.abs(F.col("m1") - F.col("m2")) / 200
+    return a.join(b, "k").where("src < dst").select("src", "dst", F.round(graph.kmer_affinity(d, F.col("n1"), F.col("n2")), 5).alias("affinity"))
+
+
+@PLANS.add(f"""WITH {_STATS} SELECT a.id AS src, b.id AS dst, round(-0.5::DOUBLE * (ln(b.v / a.v) + (a.v + (a.m - b.m) * (a.m - b.m)) / b.v - 1), 7) AS kl,
+round(-0.5::DOUBLE * ((a.m - b.m) * (a.m - b.m) / (a.v + b.v) + ln(2 * pi() * (a.v + b.v))), 7) AS gaussian, round(-sqrt((a.m - b.m) * (a.m - b.m) + a.v + b.v - 2 * sqrt(a.v * b.v)), 7) AS wasserstein,
+round(-ln(1 + abs(a.m - b.m)), 7) AS dist FROM st a JOIN st b ON a.k = b.k AND a.id < b.id""")
+def coverage_divergences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Other affinities of the same pairs."""
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    st = rows.groupBy(F.col("s_nationkey").alias("k"), F.col("l_suppkey").alias("id")).agg(F.avg("l_quantity").alias("m"), graph.shrunk(F.var_samp("l_quantity"), 1).alias("v"), F.count("*").alias("n")).where("n > 1")
+    a, b = st.select("k", F.col("id").alias("src"), F.col("m").alias("m1"), F.col("v").alias("v1")), st.select("k", F.col("id").alias("dst"), F.col("m").alias("m2"), F.col("v").alias("v2"))
+    found = graph.divergences(F.col("m1"), F.col("v1"), F.col("m2"), F.col("v2"))
+    return a.join(b, "k").where("src < dst").select("src", "dst", *(F.round(c, 7).alias(n) for n, c in found.items()))
+
+
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cosine_neighbours(_vectors(spark, sf_dir), K).select("src", "dst", F.greatest(F.col("score"), F.lit(0.0)).alias("weight"))
 
