@@ -4,7 +4,8 @@ Patterns find candidate spans. Base candidates (emails, addresses, cards, phones
 that pass their checks) are always spans; looser ones (masked emails, phones
 without a plus, social security numbers) are spans if the classifier says so.
 
-Labelers vote +1, 0 or -1 on each candidate: the pattern's own check, gazetteers
+Base candidates that fail their checks are never spans, but the labelers learn from
+them what false ones look like. Labelers vote +1, 0 or -1 on each candidate: the pattern's own check, gazetteers
 (domains, area codes, reserved numbers), words of context, and the characters
 around. Only counts of vote patterns (at most 3^6 a kind) reach the driver, where
 expectation-maximisation estimates each labeler's reliability by kind (Dawid and
@@ -97,8 +98,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     parts = []
     for i, p in enumerate(PATTERNS):
         parts.append(F.when(F.size(f"_m{i}") > 0, F.zip_with(F.col(f"_m{i}"), F.col(f"_e{i}"), _maker(text, p))).otherwise(F.array().cast(_TYPE)))
-    kept = F.filter(F.concat(*parts), lambda c: ~c["base"] | (c["check"] == 1))
-    return df.withColumn("cands", F.array_sort(kept)).drop(*(f"_{x}{i}" for x in "me" for i in range(len(PATTERNS))))
+    return df.withColumn("cands", F.array_sort(F.concat(*parts))).drop(*(f"_{x}{i}" for x in "me" for i in range(len(PATTERNS))))
 
 
 _TYPE = "array<struct<start:int,kind:int,end:int,base:boolean,check:int,gazetteer:int,cue:int,against:int,edge:int,shape:int,digits:int>>"
@@ -231,9 +231,11 @@ def _probability(c: Column, model: Model) -> Column:
 
 
 def detect(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """Adds `pii`: array of (start, kind, end, base, probability), by start, then kind."""
-    found = F.transform("cands", lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), c["base"].alias("base"), _probability(c, model).alias("probability")))
-    df = candidates(docs).withColumn("pii", F.filter(found, lambda c: c["base"] | (c["probability"] >= threshold)))
+    """Adds `pii`: array of (start, kind, end, base, probability, ok), by start, then
+    kind. A base candidate is a span if it passes its check, whatever the classifier
+    says; a looser one if the classifier says so."""
+    found = F.transform("cands", lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), c["base"].alias("base"), _probability(c, model).alias("probability"), (c["check"] == 1).alias("ok")))
+    df = candidates(docs).withColumn("pii", F.filter(found, lambda c: F.when(c["base"], c["ok"]).otherwise(c["probability"] >= threshold)))
     return df.drop("cands")
 
 
