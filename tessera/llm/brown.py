@@ -3,12 +3,15 @@
 Words are counted over all training documents. The most frequent words and, for
 the rest, groups by ending are the units that an exchange algorithm (Martin et
 al. 1998) assigns to classes: it moves one unit at a time to the class with the
-greatest gain in class-bigram likelihood. A text's probability is the product of
-class transitions and of word emissions, P(w|k) = (c(w)+1) / (N_k + V_k + 1).
+greatest gain in class-bigram likelihood. Then every other word leaves the class of
+its ending for the class of its own greatest gain, by the classes beside all of its
+tokens; these words move in one sweep, all at once. Bigrams of classes are counted
+anew after it. A text's probability is the product of class transitions and of word
+emissions, P(w|k) = (c(w)+1) / (N_k + V_k + 1).
 
-Counts of words seen often (a bounded number) go to every executor; tokens of
-rarer words are summed by document and word, joined with the counts by word, and
-summed by document, so no vocabulary has to fit anywhere.
+Counts and classes of words seen often (a bounded number) go to every executor;
+tokens of rarer words are gathered by document and word, joined with the words'
+counts and classes, and put back by document, so no vocabulary has to fit anywhere.
 
 Edge cases: a null or blank text is its end token alone; repeated rows are scored
 one by one; a null doc_id trains and is scored like any other. Without training
@@ -19,8 +22,10 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
+from array import array
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +34,9 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, materialize
 
-#: Words whose counts go to every executor; words that are clustered by themselves;
-#: groups of the other words by ending; classes; most entries of a worker's buffers.
+#: Words whose counts go to every executor; words that are units by themselves; groups
+#: of the other words by ending, where these start; classes (a byte holds one, two bytes
+#: a pair); most entries of a worker's buffers.
 FREQUENT, CLUSTERED, ENDINGS, CLASSES, BUFFER = 100_000, 1000, 96, 64, 250_000
 #: The end token: no word has a blank.
 END = b" "
@@ -41,7 +47,7 @@ def tokens(text: bytes | None) -> list[bytes]:
 
 
 def ending(word: bytes) -> int:
-    """The group of a word that is not clustered by itself, by its last two letters."""
+    """The group in which a word that is no unit by itself starts, by its last two letters."""
     return zlib.crc32(word[-2:]) % ENDINGS
 
 
@@ -121,34 +127,26 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 8) -> np.ndarray:
 class Model:
     """What every executor gets: bounded by FREQUENT, CLUSTERED and CLASSES."""
 
-    def __init__(self, words: list[bytes], counts: np.ndarray, total: int, distinct: int):
-        self.words, self.counts, self.total, self.distinct = words, counts, total, distinct
+    def __init__(self, words: list[bytes], counts: np.ndarray, total: int, distinct: int, ends: int):
+        self.words, self.counts, self.total, self.distinct, self.ends = words, counts, total, distinct, ends
         self.clustered = min(CLUSTERED, len(words))
         self.units = self.clustered + ENDINGS + 1  # the last is the end
         self.end = self.units - 1
-
-    def unit(self, word: bytes, rank: dict[bytes, int]) -> int:
-        if word == END:
-            return self.end
-        r = rank.get(word, self.clustered)
-        return r if r < self.clustered else self.clustered + ending(word)
+        # the unit of each frequent word; the last entry is for words that are not
+        self.unit_of = np.array([i if i < self.clustered else self.clustered + ending(w) for i, w in enumerate(words)] + [0], np.int64)
 
     def ranks(self) -> dict[bytes, int]:
         return {w: i for i, w in enumerate(self.words)}
 
-
-class Units(dict):
-    """Word to unit, filled as words come; emptied before it grows large."""
-
-    def __init__(self, model: Model):
-        super().__init__()
-        self.model, self.rank = model, model.ranks()
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 2 * BUFFER:
-            self.clear()
-        u = self[word] = self.model.unit(word, self.rank)
-        return u
+    def look(self, words: list[bytes], rank: dict[bytes, int], of: np.ndarray, endings: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The rank of each word, -1 for rare ones, and what `of` has for frequent words
+        and `endings` for rare ones, with `end` before and after."""
+        at = np.fromiter(map(rank.get, words, repeat(-1)), np.int64, len(words))
+        ids = np.full(len(words) + 2, end, np.int64)
+        ids[1:-1] = of[at]
+        for i in np.flatnonzero(at < 0).tolist():
+            ids[i + 1] = endings[ending(words[i])]
+        return at, ids
 
 
 def frequent(counts: DataFrame, most: int) -> list:
@@ -168,79 +166,161 @@ def frequent(counts: DataFrame, most: int) -> list:
     return sorted(zip(rows.column("word").to_pylist(), rows.column("c").to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
 
 
-def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and the counts (word, c) of all training words as a written table."""
+def gains(table: np.ndarray, out: np.ndarray, into: np.ndarray, home: np.ndarray) -> np.ndarray:
+    """The gain of each class for each word, as in `exchange`: (words, classes) counts of
+    the classes after and before a word, which the table holds at the word's `home`. A
+    word beside itself counts as beside its home."""
+    f = lambda x: x * np.log(np.maximum(x, 1.0))
+    gain = np.zeros(out.shape)
+    for t, own, other in ((table.T, out, into), (table, into, out)):
+        w, l = np.nonzero(own)  # noqa: E741
+        c, base, k = own[w, l][:, None], t[l].copy(), home[w]
+        base[np.arange(len(w)), k] -= c[:, 0]
+        same = l == k
+        base[same] -= other[w[same]]
+        step = f(base + c) - f(base)
+        if len(w):
+            first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+            gain[w[first]] += np.add.reduceat(step, first, axis=0)
+    rows, sums, before = np.arange(len(out)), out.sum(axis=1), into.sum(axis=1)
+    d = np.repeat(np.diag(table)[None], len(out), axis=0)
+    d[rows, home] -= out[rows, home] + into[rows, home]
+    gain += f(d + out + into) - f(d + out) - f(d + into) + f(d)
+    for total, n in ((table.sum(axis=1), sums), (table.sum(axis=0), before)):
+        base = np.repeat(total[None], len(out), axis=0)
+        base[rows, home] -= n
+        gain -= f(base + n[:, None]) - f(base)
+    return gain
+
+
+def place_tail(docs: DataFrame, model: Model, home: np.ndarray, table: np.ndarray) -> DataFrame:
+    """(word, c, k) of every training word that is no unit by itself: from the class of its
+    ending it moves to the class of greatest gain, by the classes before and after each of
+    its tokens. All move at once, against the table of the units' classes."""
+    k = len(table)
+    of, endings, end = home[model.unit_of], home[model.clustered : model.end], int(home[model.end])
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = model.ranks()
+        seen: defaultdict = defaultdict(bytearray)
+        held = 0
+
+        def out() -> pa.RecordBatch:
+            b = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array([bytes(x) for x in seen.values()], pa.binary())], ["word", "pairs"])
+            seen.clear()
+            return b
+
+        for batch in batches:
+            for t in batch.column(0).cast(pa.binary()).to_pylist():
+                words = tokens(t)
+                at, ids = model.look(words, rank, of, endings, end)
+                tail = np.flatnonzero((at < 0) | (at >= model.clustered))
+                pairs = (ids[tail] * k + ids[tail + 2]).astype(np.uint16).tobytes()
+                for j, i in enumerate(tail.tolist()):
+                    seen[words[i]] += pairs[2 * j : 2 * j + 2]
+                held += len(tail)
+                if len(seen) > BUFFER or held > 16 * BUFFER:
+                    yield out()
+                    held = 0
+        yield out()
+
+    def settle(words: list[bytes], pairs: list[bytes]) -> pa.RecordBatch:
+        row = np.cumsum([0] + [x != y for x, y in zip(words[1:], words[:-1], strict=True)])
+        at = np.repeat(row, [len(p) // 2 for p in pairs])
+        pair = np.frombuffer(b"".join(pairs), np.uint16).astype(np.int64)
+        n = int(row[-1]) + 1
+        into = np.bincount(at * k + pair // k, minlength=n * k).reshape(n, k).astype(float)
+        out = np.bincount(at * k + pair % k, minlength=n * k).reshape(n, k).astype(float)
+        names = [words[i] for i in np.flatnonzero(np.append(True, row[1:] != row[:-1])).tolist()]
+        old = endings[[ending(w) for w in names]]
+        gain = gains(table, out, into, old)
+        best = gain.argmax(axis=1)
+        rows = np.arange(n)
+        best = np.where(gain[rows, best] <= gain[rows, old] + 1e-9, old, best)
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(out.sum(axis=1).astype(np.int64)), pa.array(best.astype(np.int32))], ["word", "c", "k"])
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: list[bytes] = []
+        pairs: list[bytes] = []
+        for batch in batches:
+            words += batch.column(0).to_pylist()
+            pairs += batch.column(1).to_pylist()
+            whole = len(words)  # the last word may go on in the next batch
+            while whole and words[whole - 1] == words[-1]:
+                whole -= 1
+            if whole:
+                yield settle(words[:whole], pairs[:whole])
+                words, pairs = words[whole:], pairs[whole:]
+        if words:
+            yield settle(words, pairs)
+
+    found = docs.select("text").transform(map_texts, contexts, "word binary, pairs binary")
+    return found.repartition("word").sortWithinPartitions("word").mapInArrow(assign, "word binary, c long, k int")
+
+
+def learn(docs: DataFrame) -> tuple[Model, DataFrame]:
+    """A model with the class of every training word, but no transitions yet; and (word,
+    c, k) of all words that are no unit by themselves, as a written table."""
     counts = materialize(count_words(docs), "counts")
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    total, distinct, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.max(F.when(F.col("word") == F.lit(END), F.col("c"))), F.lit(0))).first()
     top = frequent(counts, FREQUENT)
-    model = Model([w for w, _ in top], np.array([c for _, c in top], np.int64), total, distinct)
+    model = Model([w for w, _ in top], np.array([c for _, c in top], np.int64), total, distinct, ends)
     n = model.units
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit = Units(model)
+        rank, endings = model.ranks(), np.arange(model.clustered, model.end)
         seen = np.zeros(n * n, np.int64)
         for batch in batches:
             for t in batch.column(0).cast(pa.binary()).to_pylist():
-                words = tokens(t)
-                ids = np.full(len(words) + 2, model.end, np.int64)
-                ids[1:-1] = np.fromiter(map(unit.__getitem__, words), np.int64, len(words))
+                _, ids = model.look(tokens(t), rank, model.unit_of, endings, model.end)
                 np.add.at(seen, ids[:-1] * n + ids[1:], 1)
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_pydict({"pair": at, "c": seen[at]})
 
-    def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, seen = model.ranks(), np.zeros(n, np.int64)
-        for batch in batches:
-            for w in batch.column(0).to_pylist():
-                seen[model.unit(w, rank)] += 1
-        yield pa.RecordBatch.from_pydict({"unit": np.arange(n), "c": seen})
-
     bigrams = np.zeros(n * n)
     seen = docs.select("text").transform(map_texts, pairs, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()  # units squared at most
     bigrams[seen.column("pair").to_numpy()] = seen.column("c").to_numpy()
     bigrams = bigrams.reshape(n, n)
-    types = np.zeros(n)
-    for r in counts.select("word").transform(map_texts, kinds, "unit long, c long").groupBy("unit").agg(F.sum("c").alias("c")).collect():
-        types[r["unit"]] = r["c"]
     home = exchange(bigrams, min(CLASSES, n))
     k = int(home.max()) + 1
-    table, vocabulary = np.zeros((k, k)), np.zeros(k)
+    table = np.zeros((k, k))
     np.add.at(table, (home[:, None], home[None, :]), bigrams)
-    np.add.at(vocabulary, home, types)
-    tokens_of = np.bincount(home, weights=bigrams.sum(axis=0), minlength=k)
-    share = (tokens_of + 1) / (tokens_of.sum() + k)
-    model.home = home
-    model.transition = np.log10((table + 2 * share[None, :]) / (table.sum(axis=1, keepdims=True) + 2))
-    model.emission = -np.log10(tokens_of + vocabulary + 1)
-    return model, counts
-
-
-def score(docs: DataFrame, model: Model, counts: DataFrame, held: Column) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and
-    class_perplexity of every document."""
+    placed = materialize(place_tail(docs, model, home, table), "classes")
+    model.classes, model.end_class = k, int(home[model.end])
+    #: Words that training has not seen go by their ending.
+    model.endings = home[model.clustered : model.end]
+    model.kinds = home[model.unit_of]
+    rank = model.ranks()
+    if len(model.counts):
+        known = placed.where(F.col("c") >= int(model.counts[-1])).select("word", "k").toArrow()  # FREQUENT at most
+        for w, c in zip(known.column("word").to_pylist(), known.column("k").to_pylist(), strict=True):
+            model.kinds[rank[w]] = c
+    model.vocabulary = np.bincount(np.append(home[: model.clustered], [model.end_class] * (ends > 0)).astype(np.int64), minlength=k).astype(float)
+    for r in placed.groupBy("k").agg(F.count("*").alias("n")).collect():
+        model.vocabulary[r["k"]] += r["n"]
+    return model, placed
+
+
+def encode(docs: DataFrame, model: Model, placed: DataFrame, held: Column) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, log (the sum of log10(c + 1) of the tokens) and
+    classes (a byte for each token, with the end before and after), as a written table."""
     least = int(model.counts[-1]) if len(model.counts) else 1 << 62
-    end_count = counts.where(F.col("word") == F.lit(END)).agg(F.max("c")).first()[0] or 0
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, unit = model.ranks(), Units(model)
-        logs = np.log10(model.counts + 1.0)
+        rank, logs = model.ranks(), np.log10(model.counts + 1.0)
         for batch in batches:
             rows: list[tuple] = []
             for rid, doc_id, text, out in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 words = tokens(text)
-                at = np.fromiter((rank.get(w, -1) for w in words), np.int64, len(words))
-                ids = np.full(len(words) + 2, model.end, np.int64)
-                ids[1:-1] = np.where((at >= 0) & (at < model.clustered), at, 0)
-                rest = np.flatnonzero((at < 0) | (at >= model.clustered)).tolist()
-                for i in rest:
-                    ids[i + 1] = unit[words[i]]
+                at, ids = model.look(words, rank, model.kinds, model.endings, model.end_class)
                 known = at[at >= 0]
-                kept = float(logs[known].sum()) + math.log10(end_count + 1)
-                k = model.home[ids]
-                chain = float(model.transition[k[:-1], k[1:]].sum() + model.emission[k[1:]].sum())
-                # one row for the document under a word that cannot be, then its rarer words
-                rows.append((rid, doc_id, out, b" %d" % rid, 1, len(words) + 1, len(known) + (end_count > 0), kept, chain))
-                rows += [(rid, None, None, w, c, None, None, None, None) for w, c in Counter(words[i] for i in np.flatnonzero(at < 0).tolist()).items()]
+                kept = float(logs[known].sum()) + math.log10(model.ends + 1)
+                # one row for the document under a word that cannot be, then its rarer words and where they are
+                rows.append((rid, doc_id, out, b" %d" % rid, len(words) + 1, len(known) + (model.ends > 0), kept, ids.astype(np.uint8).tobytes()))
+                rare: dict[bytes, list[int]] = {}
+                for i in np.flatnonzero(at < 0).tolist():
+                    rare.setdefault(words[i], []).append(i + 1)
+                rows += [(rid, None, None, w, None, None, None, array("i", x).tobytes()) for w, x in rare.items()]
                 if len(rows) > BUFFER:
                     yield pack(rows)
                     rows = []
@@ -250,18 +330,120 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, held: Column) -> Dat
         columns = list(zip(*rows, strict=True)) or [()] * len(names)
         return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names)
 
-    names = ["rid", "doc_id", "held_out", "word", "tf", "n_tokens", "n_known", "kept", "chain"]
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    def gather(rows: pa.Table) -> pa.RecordBatch:
+        """The rows of whole documents, by rid: one row each."""
+        get = lambda name: rows.column(name).to_numpy()
+        rid = get("rid")
+        first = np.flatnonzero(np.append(True, rid[1:] != rid[:-1]))
+        doc = np.cumsum(np.append(0, rid[1:] != rid[:-1]))
+        main = np.flatnonzero(rows.column("n_tokens").is_valid().to_numpy())
+        held = rows.column("bytes").to_pylist()
+        classes = [held[i] for i in main.tolist()]
+        flat = np.frombuffer(b"".join(classes), np.uint8).copy()
+        start = np.cumsum([0] + [len(x) for x in classes])
+        k = get("k")
+        moved = np.flatnonzero(k >= 0)
+        where = [held[i] for i in moved.tolist()]
+        many = np.array([len(x) // 4 for x in where], np.int64)
+        flat[np.repeat(start[doc[moved]], many) + np.frombuffer(b"".join(where), np.int32)] = np.repeat(k[moved], many)
+        data = flat.tobytes()
+        cut = start.tolist()
+        side = rows.select(["doc_id", "held_out", "n_tokens"]).take(pa.array(main))
+        return pa.RecordBatch.from_arrays([
+            *(side.column(c).combine_chunks() for c in side.column_names), pa.array(np.add.reduceat(get("n_known"), first)), pa.array(np.add.reduceat(get("log"), first)),
+            pa.array([data[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
+        ], ["doc_id", "held_out", "n_tokens", "n_known", "log", "classes"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            rid = batch.column(0).to_numpy()
+            whole = int(np.searchsorted(rid, rid[-1]))  # the last document may go on
+            if whole or (open_ and open_[0].column(0)[0].as_py() != rid[-1]):
+                yield gather(pa.Table.from_batches([*open_, batch.slice(0, whole)]))
+                open_ = []
+            open_.append(batch.slice(whole))
+        if open_:
+            yield gather(pa.Table.from_batches(open_))
+
+    names = ["rid", "doc_id", "held_out", "word", "n_tokens", "n_known", "kept", "bytes"]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.binary()]
     base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out"))
-    rows = base.transform(map_texts, kernel, "rid long, doc_id long, held_out boolean, word binary, tf long, n_tokens long, n_known long, kept double, chain double")
-    rare = counts.where((F.col("c") < least) & (F.col("word") != F.lit(END)))
-    joined = rows.join(rare, "word", "left")
-    log = F.sum(F.coalesce("kept", F.lit(0.0)) + F.when(F.col("c").isNotNull(), F.col("tf") * F.log10(F.col("c") + 1.0)).otherwise(0.0))
-    known = F.sum(F.coalesce("n_known", F.lit(0)) + F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(F.lit(0)))
-    out = joined.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), known.alias("n_known"), log.alias("log"), F.max("chain").alias("chain"))
+    rows = base.transform(map_texts, kernel, "rid long, doc_id long, held_out boolean, word binary, n_tokens long, n_known long, kept double, bytes binary")
+    joined = rows.join(placed.where(F.col("c") < least), "word", "left")
+    tf = F.when(F.col("c").isNotNull(), F.octet_length("bytes") / 4).otherwise(0.0)
+    known = F.coalesce("n_known", tf.cast("long"))
+    log = F.coalesce("kept", tf * F.log10(F.coalesce("c", F.lit(0)) + 1.0))
+    slim = joined.select("rid", "doc_id", "held_out", "n_tokens", known.alias("n_known"), log.alias("log"), F.coalesce("k", F.lit(-1)).alias("k"), "bytes")
+    out = slim.repartition("rid").sortWithinPartitions("rid").mapInArrow(merge, "doc_id long, held_out boolean, n_tokens long, n_known long, log double, classes binary")
+    return materialize(out, "coded")
+
+
+def join_classes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bigrams (first, second) of a batch of documents, and where each document's begin."""
+    rows = column.to_pylist()
+    flat = np.frombuffer(b"".join(rows), np.uint8).astype(np.int64)
+    start = np.cumsum([0] + [len(x) for x in rows])
+    inner = np.ones(len(flat), bool)
+    inner[start[1:] - 1] = False
+    at = np.flatnonzero(inner)
+    return np.stack((flat[at], flat[at + 1])), start[:-1] - np.arange(len(rows))
+
+
+def settle(model: Model, coded: DataFrame) -> Model:
+    """Adds transitions and emissions, from the class bigrams of coded training documents."""
+    k = model.classes
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(k * k, np.int64)
+        for batch in batches:
+            if len(batch):
+                (a, b), _ = join_classes(batch.column(0))
+                seen += np.bincount(a * k + b, minlength=k * k)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_pydict({"pair": at, "c": seen[at]})
+
+    table = np.zeros(k * k)
+    for r in coded.select("classes").transform(map_texts, pairs, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).collect():
+        table[r["pair"]] = r["c"]
+    table = table.reshape(k, k)
+    tokens_of = table.sum(axis=0)
+    share = (tokens_of + 1) / (tokens_of.sum() + k)
+    model.table = table
+    model.transition = np.log10((table + 2 * share[None, :]) / (table.sum(axis=1, keepdims=True) + 2))
+    model.emission = -np.log10(tokens_of + model.vocabulary + 1)
+    return model
+
+
+def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
+    """The model, and (word, c, k) of the training words that are no unit by themselves."""
+    model, placed = learn(docs)
+    return settle(model, encode(docs, model, placed, F.lit(False))), placed
+
+
+def rate(coded: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and
+    class_perplexity of every coded document."""
+    transition, emission = model.transition, model.emission
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                (a, b), first = join_classes(batch.column(5))
+                chain = np.add.reduceat(transition[a, b] + emission[b], first)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(chain)], ["doc_id", "held_out", "n_tokens", "n_known", "log", "chain"])
+
+    out = coded.select("doc_id", "held_out", "n_tokens", "n_known", "log", "classes").transform(map_texts, kernel, "doc_id long, held_out boolean, n_tokens long, n_known long, log double, chain double")
     whole = math.log10(model.total + model.distinct + 1)
     return out.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"),
         (F.col("log") - F.col("n_tokens") * F.lit(whole)).alias("base_score"), (F.col("log") + F.col("chain")).alias("score"),
         F.pow(F.lit(10.0), -(F.col("log") + F.col("chain")) / F.col("n_tokens")).alias("class_perplexity"),
     )
+
+
+def score(docs: DataFrame, model: Model, placed: DataFrame, held: Column) -> DataFrame:
+    """`rate` of documents that are not coded yet."""
+    return rate(encode(docs, model, placed, held), model)

@@ -55,8 +55,9 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = held_out(F.col("doc_id"), 7, 2)
-    model, counts = brown.fit(docs.where(~held))
-    return brown.score(docs, model, counts, held)
+    model, placed = brown.learn(docs.where(~held))
+    coded = brown.encode(docs, model, placed, held)  # once, for transitions and scores
+    return brown.rate(coded, brown.settle(model, coded.where("not held_out")))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -358,6 +358,43 @@ def test_language_model_is_a_distribution(spark, folder, monkeypatch):
     assert all(c[i]["base_score"] == pytest.approx(d[i]["base_score"]) and c[i]["n_known"] == d[i]["n_known"] for i in c)
 
 
+def test_language_model_clusters_rare_words(spark, monkeypatch):
+    """Words that are no unit by themselves, alike in ending, join the units that have the
+    same words beside them."""
+    monkeypatch.setattr(brown, "CLUSTERED", 6)
+    monkeypatch.setattr(brown, "FREQUENT", 20)
+    rng = random.Random(3)
+    slot = lambda x: x * 2 if rng.random() < 0.5 else f"{x}{rng.randrange(60)}xx"
+    lines = [" ".join(w for _ in range(30) for w in (("aa", slot("m"), "bb") if rng.random() < 0.5 else ("cc", slot("n"), "dd"))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    model, placed = brown.fit(docs)
+    rows = placed.collect()
+    tail = Counter(w for t in lines for w in t.split() if len(w) > 2)
+    assert {r.word.decode(): r.c for r in rows} == dict(tail)
+    of = {w: int(model.kinds[i]) for i, w in enumerate(model.words)}
+    assert of[b"mm"] != of[b"nn"]
+    assert all(r.k == of[b"mm" if r.word[:1] == b"m" else b"nn"] for r in rows)
+    assert model.table.sum() == sum(len(t.split()) + 1 for t in lines)
+
+
+def test_gains_by_brute_force():
+    rng = np.random.default_rng(1)
+    table = rng.integers(20, 60, (5, 5)).astype(float)
+    out, into, home = rng.integers(0, 3, (4, 5)).astype(float), rng.integers(0, 3, (4, 5)).astype(float), np.array([0, 1, 2, 3])
+    f = lambda x: (x * np.log(np.maximum(x, 1.0))).sum()
+    got = brown.gains(table, out, into, home)
+    for w in range(4):
+        want = []
+        for k in range(5):
+            t = table.copy()
+            t[home[w], :] -= out[w]
+            t[:, home[w]] -= into[w]
+            t[k, :] += out[w]
+            t[:, k] += into[w]
+            want.append(f(t) - f(t.sum(axis=1)) - f(t.sum(axis=0)))
+        assert np.allclose(np.array(want) - want[0], got[w] - got[w, 0])
+
+
 def test_exchange_finds_classes():
     rng = np.random.default_rng(0)
     truth = np.arange(24) % 3
