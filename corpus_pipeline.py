@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and
 returns a DataFrame, which is written as Parquet and read again as the next one's
-documents. All but the last return the columns of `documents`.
+documents. All but the last return the columns of `documents`; the last adds `copies`,
+and `run` returns each document once for each of its copies.
 """
 
 from __future__ import annotations
@@ -39,8 +40,8 @@ def redact_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Copies of each document in the mix; documents that it doesn't take stay with 0."""
-    return mixing.mix(docs)
+    """The documents and how many copies of each the mix takes, 0 or more; `run` emits them."""
+    return mixing.mark(docs)
 
 
 STAGES = [
@@ -61,4 +62,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = materialize(docs, f"stage{i}")
-    return docs
+    return mixing.emit(docs)

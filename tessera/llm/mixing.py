@@ -16,14 +16,15 @@ third of all rows is spread over many tasks.
 Edge cases: a null text has size 0 and is never taken in words; a null source is a
 source of its own, last in order; repeated rows and null ids are rows like any
 other (equal rows may get different copies); an empty table gives no rows. Columns
-other than doc_id, text and source are not looked at.
+other than doc_id, text and source are not looked at; `mark` and `emit` hand them on,
+and a column `copies` of the documents' own is replaced.
 """
 
 from __future__ import annotations
 
 import random
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, materialize
@@ -32,9 +33,9 @@ from .common import WORD, materialize
 BUCKET_ROWS = 4_000_000
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size (words of the text)."""
-    return docs.select("doc_id", F.col("source").isNull().alias("nowhere"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def sizes(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, source and size (words of the text), and what else is asked for."""
+    return docs.select("doc_id", F.col("source").isNull().alias("nowhere"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *more)
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
@@ -54,10 +55,9 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float
     return t.select("nowhere", "source", "source_size", F.least("cap", F.col("weight") * F.coalesce(level, F.lit(0.0))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, seed: int = 11) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken of each document."""
+def place(sized: DataFrame, weights: tuple[int, ...], most: float, seed: int) -> DataFrame:
+    """Adds source_size, target and copies to each row of written `sizes`."""
     offset = random.Random(seed).random()
-    sized = materialize(sizes(docs), "sizes")  # three passes need it; the texts are read once
     rows = sized.count()
     residues = 64
     while rows // residues > BUCKET_ROWS:
@@ -77,11 +77,31 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     placed = placed.withColumn("rate", rate)
     copies = F.floor(F.col("rate") * F.col("at") + F.lit(offset)) - F.floor(F.col("rate") * (F.col("at") - 1) + F.lit(offset))
-    return placed.withColumn("copies", copies.cast("long")).select(
+    return placed.withColumn("copies", copies.cast("long"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, seed: int = 11) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies and taken of each document."""
+    sized = materialize(sizes(docs), "sizes")  # three passes need it; the texts are read once
+    return place(sized, weights, most, seed).select(
         "doc_id", F.when(~F.col("nowhere"), F.col("source")).alias("source"), "size", "source_size", F.round("target", 6).alias("target"), "copies", (F.col("size") * F.col("copies")).alias("taken")
     )
 
 
+def mark(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, seed: int = 11) -> DataFrame:
+    """The documents with all their columns, and the copies of each, as `mix` has them.
+    Ids may be null or repeated, so rows are numbered in a written table and joined by that."""
+    document = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "copies")).alias("document")
+    held = materialize(sizes(docs, F.monotonically_increasing_id().alias("row"), document), "numbered")
+    copies = place(held.drop("document"), weights, most, seed).select("row", "copies")
+    return held.select("row", "document").join(copies, "row").select("document.*", "copies")
+
+
+def emit(marked: DataFrame) -> DataFrame:
+    """The mix itself: each document of `mark` once for each of its copies."""
+    return marked.withColumn("copies", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).drop("copies")
+
+
 #: The same in SQL, at the default weights and seed, for tables of up to BUCKET_ROWS x 64 rows.
 SQL = f"""
 WITH sized AS (

@@ -1,9 +1,11 @@
 """The stages on the odd corpus: each holds against what its operator says."""
 
+from collections import Counter
+
 import pytest
 
 import corpus_pipeline
-from tessera.llm import decontam, pii, simhash
+from tessera.llm import decontam, mixing, pii, simhash
 
 from test_text_operators import bare, corpus, folder, spans  # noqa: F401
 
@@ -38,6 +40,22 @@ def test_run_on_empty_tables(spark, bare):  # noqa: F811
     assert corpus_pipeline.run(spark, bare).collect() == []
 
 
+def test_run_returns_documents(spark, bare, folder, monkeypatch):  # noqa: F811
+    """Each document comes as often as the mix takes it, with all its columns."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    assert corpus_pipeline.run(spark, bare).columns == docs.columns
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[-1:])
+    got = Counter((r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in corpus_pipeline.run(spark, folder).collect())
+    copies = Counter()
+    for r in mixing.mix(docs).collect():
+        copies[r.doc_id] += r.copies
+    by_id = Counter()
+    for k, n in got.items():
+        by_id[k[0]] += n
+    assert by_id == +copies and 0 in copies.values() and max(copies.values()) > 1
+    assert set(got) <= {(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in docs.collect()}
+
+
 def test_model_without_candidates(spark, bare):  # noqa: F811
     assert pii.fit(spark.read.parquet(f"{bare}/documents.parquet")).weights == {}
 
