@@ -32,6 +32,9 @@ from .common import labelled_sample, map_texts, materialize
 PER_CLASS, LEARNED_WORDS, LEARNED_STEMS = 4000, 400, 200
 #: A learned entry: log-likelihood ratio and ratio of rates at least; stems' bytes.
 LEAST_G2, LEAST_RATIO, STEMS = 20.0, 8.0, (4, 5)
+#: Hashes of a document's signature; share of word pairs in common from which a labelled
+#: document is a copy.
+SIGNS, COPY = 128, 0.5
 
 #: Curated lexicons, lowered.
 LEXICONS = {
@@ -96,12 +99,41 @@ class Lexicon:
         return hits, "".join("-0+"[v + 1] for v in votes)
 
 
+def signature(text: bytes | None) -> np.ndarray:
+    """The least hashes of a text's pairs of neighbouring words, by SIGNS functions; two
+    texts agree in about the share of pairs that they have in common."""
+    ws = words(text)
+    pairs = {b" ".join(p) for p in zip(ws, ws[1:], strict=False)} or set(ws)
+    if not pairs:
+        return np.zeros(SIGNS, np.uint32)
+    h = np.fromiter(map(zlib.crc32, pairs), np.uint64, len(pairs))
+    rng = np.random.default_rng(5)
+    odd, add = rng.integers(1, 1 << 63, SIGNS, np.uint64) | np.uint64(1), rng.integers(0, 1 << 63, SIGNS, np.uint64)
+    return np.array([((h * x + y) >> np.uint64(32)).min() for x, y in zip(odd, add, strict=True)], np.uint32)
+
+
 def distinct_texts(sample: DataFrame) -> DataFrame:
-    """One document of each group of copies in the bounded sample: those whose two
-    smallest word hashes agree. Words of a copied text would otherwise count as if many
-    authors used them."""
-    hashes = F.transform(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: F.xxhash64(w))
-    return sample.withColumn("_sign", F.slice(F.array_sort(F.array_distinct(hashes)), 1, 2)).groupBy("label", "_sign").agg(F.min(F.struct("doc_id", "text")).alias("d")).select("d.doc_id", "d.text", "label")
+    """The bounded sample without copies: a document is left out if one that stays, with
+    its label, has at least COPY of its pairs of words in common with it. Words of a copied
+    text would otherwise count as if many authors used them."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            signs = [signature(t).tobytes() for t in b.column(2).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(signs, pa.binary())], ["row", "doc_id", "label", "signs"])
+
+    rows = materialize(sample.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("label").cast("int").alias("label")), "tox-labelled")
+    signed = rows.transform(map_texts, sign, "row long, doc_id long, label int, signs binary").toArrow().sort_by([("label", "ascending"), ("doc_id", "ascending"), ("row", "ascending")])
+    held: dict[int, tuple[np.ndarray, int]] = {}
+    stay = []
+    for row, label, signs in zip(signed.column("row").to_pylist(), signed.column("label").to_pylist(), signed.column("signs").to_pylist(), strict=True):
+        own = np.frombuffer(signs, np.uint32)
+        seen, n = held.get(label) or (np.zeros((signed.num_rows, SIGNS), np.uint32), 0)
+        if not n or (seen[:n] == own).mean(axis=1).max() < COPY:
+            seen[n], n = own, n + 1
+            stay.append((row,))
+        held[label] = seen, n
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(stay, "row long")), "row").select("doc_id", "text", "label")
 
 
 def learn_lexicon(sample: DataFrame, counts: dict) -> Lexicon:

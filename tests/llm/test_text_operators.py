@@ -258,6 +258,19 @@ def test_toxicity(got):
             assert rows[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0)
 
 
+def test_copies_are_alike(spark):
+    """Texts that share some words stay; exact and near copies go, within a label."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghij", k=9))
+    common = [word() for _ in range(20)]
+    texts = [" ".join([word() for _ in range(60)] + common) for _ in range(30)]
+    near = texts[0].split()
+    near[7] = "new"
+    rows = [(i, t, 0) for i, t in enumerate(texts)] + [(100, texts[0], 0), (101, " ".join(near), 0), (102, texts[0], 1), (103, None, 0), (104, "", 0)]
+    left = {r.doc_id for r in toxicity.distinct_texts(spark.createDataFrame(rows, "doc_id long, text string, label int")).collect()}
+    assert left == {*range(30), 102, 103}
+
+
 def test_label_model_discounts_copies():
     rng = random.Random(1)
     seen = Counter()
