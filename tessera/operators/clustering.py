@@ -9,6 +9,7 @@ clusters are processed together in DataFrames.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,6 @@ class Settings:
     sequence_neighbours: int = 10
     min_cluster: int = 100_000
     max_seeds: int = 30_000
-    max_rounds: int = 20
     stages: tuple = field(default=((0.97, 10, 0.97), (0.90, 10, 0.90), (0.85, 30, 0.7)))
 
 
@@ -119,8 +119,8 @@ def verdicts(state: DataFrame, marks: DataFrame, s: Settings) -> DataFrame:
 
 def cluster_sequences(features: DataFrame, seeds: DataFrame, folder: str, s: Settings | None = None) -> DataFrame:
     """(id, cluster) of features (id, length, profile, mean, variance) and seeds (id,
-    markers); sequences of dropped clusters are left out. State is written to `folder`
-    each round."""
+    markers); sequences of dropped clusters are left out. Rounds go on until no cluster is
+    open. State is written to `folder` each round."""
     s = s or Settings()
     marks = _written(seeds.select("id", F.explode("markers").alias("marker")), folder, "marks")
     base = _written(features, folder, "features")
@@ -129,10 +129,11 @@ def cluster_sequences(features: DataFrame, seeds: DataFrame, folder: str, s: Set
     samples_first = base.select(F.size("mean").alias("n")).first()
     one_sample = samples_first is not None and samples_first["n"] == 1
 
-    for turn in range(s.max_rounds):
+    for turn in count():
         judged = _written(verdicts(state, marks, s), folder, "verdicts")
         first = state.groupBy("label").agg(F.min("id").alias("least"))
         final = state.join(judged.where("verdict = 'final'"), "label").join(first, "label").select("id", F.col("least").alias("cluster"))
+        final = _written(final, folder, "final")
         done = final if done is None else done.unionByName(final)
         open_ = _written(state.join(judged.where("verdict = 'split'"), "label").select("id", "length", "label"), folder, "open")
         if open_.isEmpty():
@@ -150,6 +151,9 @@ def cluster_sequences(features: DataFrame, seeds: DataFrame, folder: str, s: Set
         closed = state.where("closed")
         done = done.unionByName(closed.select("id", F.col("label").alias("cluster")))
         state = state.where(~F.col("closed")).select("id", "length", "label")
+        # every open cluster gives one label at least: as many as before, and nothing was split
+        if turn and closed.isEmpty() and state.select("label").distinct().count() == open_.select("label").distinct().count():
+            raise RuntimeError(f"round {turn} of the clustering split none of its open clusters")
     return done
 
 

@@ -243,6 +243,25 @@ def test_greedy_partitions():
     assert label[0] == label[1] and label[2] == label[3] and label[0] != label[2] and good == pytest.approx(2.0, abs=1e-3)
 
 
+def test_clusters_split_until_all_are_decided(spark, tmp_path, monkeypatch):
+    """A cluster that loses one sequence a round: more rounds than any fixed bound had."""
+
+    def verdicts(state, marks, s):
+        return state.groupBy("label").agg(F.when(F.count("*") == 1, "final").otherwise("split").alias("verdict"))
+
+    def spread(base, open_, *rest):
+        first = open_.agg(F.min("id")).first()[0]
+        return open_.select("id", "length", F.when(F.col("id") == first, first).otherwise(first + 1).alias("label"), F.lit(False).alias("closed"))
+
+    monkeypatch.setattr(clustering, "verdicts", verdicts)
+    monkeypatch.setattr(clustering, "_spread", spread)
+    monkeypatch.setattr(clustering, "split_seeds", lambda g, s: (np.zeros(len(g), int), 0, 0.8))
+    features = spark.createDataFrame([(i, 5000, [0.0], [1.0], [1.0]) for i in range(22)], "id long, length long, profile array<double>, mean array<double>, variance array<double>").coalesce(1)
+    marks = spark.createDataFrame([(0, [1])], "id long, markers array<int>").coalesce(1)
+    got = {r.id: r.cluster for r in clustering.cluster_sequences(features, marks, str(tmp_path)).collect()}
+    assert got == {i: i for i in range(22)}
+
+
 def test_two_genomes_are_split(spark, tmp_path):
     rng = np.random.default_rng(0)
     rows, seeds = [], []
