@@ -28,12 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one
-    only where it is unset, as in tests on one machine."""
+    """The folder the cluster names in spark.checkpoint.dir. Where it is unset, a
+    temporary one on a local master, as in tests; an error on any other, since nodes do
+    not share such a folder."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
     if not named:
         named = spark.sparkContext.getCheckpointDir() or ""
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all nodes share")
         named = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -47,13 +50,36 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def others(df: DataFrame, added: list[str]) -> list[Column]:
+    """The columns of `df` but those that an operator adds: the rule for clashing names
+    is that an added column replaces the input's of the same name (in any case, as Spark
+    takes names)."""
+    fixed = df.sparkSession.conf.get("spark.sql.caseSensitive", "false") == "true"
+    plain = (lambda c: c) if fixed else str.lower
+    taken = {plain(c) for c in added}
+    return [F.col(quoted(c)) for c in df.columns if plain(c) not in taken]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def pack(df: DataFrame, *more: Column) -> DataFrame:
+    """(document, more): all columns of `df` in one struct, so that no working column
+    beside it can clash with one of them."""
+    return df.select(F.struct(*(F.col(quoted(c)) for c in df.columns)).alias("document"), *more)
+
+
 def map_texts(df: DataFrame, kernel, schema) -> DataFrame:
-    """mapInArrow over rows that hold whole texts: batches of fewer rows than Spark's
-    default, so that long texts take little memory on either side of the pipe."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > TEXT_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS)
-    return df.mapInArrow(kernel, schema)
+    """mapInArrow over rows that hold whole texts. Spark's own batches may hold 10,000
+    texts; the kernel gets slices of TEXT_ROWS, so that what it makes of them is small.
+    The session's settings stay as they are; its spark.sql.execution.arrow.maxBytesPerBatch
+    (64 MB by default) bounds the batches themselves."""
+
+    def sliced(batches):
+        return kernel(b.slice(at, TEXT_ROWS) for b in batches for at in range(0, max(1, b.num_rows), TEXT_ROWS))
+
+    return df.mapInArrow(sliced, schema)
 
 
 def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:

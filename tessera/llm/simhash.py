@@ -4,21 +4,25 @@ Every document gets a 64-bit fingerprint; two documents link when their
 fingerprints differ in at most `budget` bits, and a document's class is the
 connected component of its links.
 
-Equal fingerprints are one node, so groups of copies cost one row. The trie is
-cut at a depth that follows the number of nodes; a pair of its sub-tries is one
-group, and only pairs whose prefixes differ within the budget are dealt out
-(each fingerprint is sent to the few neighbouring prefixes). Within a group both
-tries are walked together from the cut: differing bits add up, and a pair of
-nodes is dropped as soon as they exceed the budget. Each group gives back a
-spanning forest of its links, not the links, so a dense group stays linear; the
-components are the same. Labels then spread by minimum with pointer jumping,
-each round written to the shared folder.
+Equal fingerprints are one node, so groups of copies cost one row. The 64 bits are cut
+into budget + 2 blocks: two fingerprints within the budget agree in two blocks at least.
+For each choice of two blocks the bits are reordered, these two first, so every link is
+between two leaves of one sub-trie under the exact prefix, and a fingerprint is sent to as
+many sub-tries as there are choices (6 for a budget of 2, whatever the input's size). In a
+sub-trie pairs of nodes are walked together: differing bits add up, and a pair is dropped
+as soon as they exceed the budget. Sub-tries with more than `SUBTRIE` fingerprints are
+counted beforehand and cut deeper, four bits a round, into pairs of smaller sub-tries
+whose prefixes differ within the budget, until none is over the bound; so no task ever
+holds more. Each group gives back a spanning forest of its links, not the links, so a
+dense group stays linear; the components are the same. Labels then spread by minimum with
+pointer jumping, each round written to the shared folder.
 
 Edge cases: a null or blank text has fingerprint zero and links like any other;
 fewer words than a shingle are one shingle; repeated rows fall into one class. A
 null doc_id takes its class from rows with equal fingerprint but joins no two
 classes; without any such row its component_id is null. An empty table gives no
-rows. Other columns of the input are not looked at.
+rows. Other columns of the input are not looked at; `drop_near_duplicates` hands all of
+them on, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,13 +33,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialize, maybe_broadcast
+from .common import BROADCAST_ROWS, map_texts, materialize, maybe_broadcast, pack
 
-#: Nodes that one sub-trie should hold on average, and the deepest cut.
-SUBTRIE, DEEPEST = 8192, 20
+#: Fingerprints that one sub-trie may hold; bits by which a larger one is cut deeper.
+SUBTRIE, DEEPER = 16_384, 4
+#: Rows of whole sub-tries that are walked at a time; rows from which a fingerprint is hot.
+WALKED, HOT = 1 << 17, 100_000
 #: Node pairs with at most so many leaf pairs are compared directly; pairs walked at a time.
 LEAF_PAIRS, FRONTIER = 64, 100_000
 
@@ -61,15 +67,17 @@ def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * totals > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, *more: Column) -> DataFrame:
+    """(doc_id, more, fp): fp is the fingerprint as a signed long; more: columns of longs."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *more, F.col("text").alias("text"))
+    names = rows.columns[:-1]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(t, shingle, seed) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            fps = [fingerprint(t, shingle, seed) for t in b.columns[-1].cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.array(fps, np.uint64).view(np.int64))], [*names, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(map_texts, kernel, "doc_id long, fp long")
+    return rows.transform(map_texts, kernel, ", ".join(f"{n} long" for n in [*names, "fp"]))
 
 
 def _expand(lo1, hi1, lo2, hi2):
@@ -81,16 +89,21 @@ def _expand(lo1, hi1, lo2, hi2):
     return lo1[at] + k // width[at], lo2[at] + k % width[at]
 
 
-def trie_pairs(left: np.ndarray, right: np.ndarray, depth: int, budget: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_pairs(left: np.ndarray, right: np.ndarray, depth: int, budget: int, same: bool, roots: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of fingerprints within `budget` bits: `left` and `right` are
-    sorted, and each side's first `depth` bits are equal; `same`: one array."""
+    sorted, and each side's first `depth` bits are equal; `same`: one array. With `roots`
+    (begins and ends of sub-tries in it) each of them is joined with itself instead, and
+    `depth` bits are equal within each."""
     if not len(left) or not len(right):
         return
-    gap = int(np.bitwise_count((left[0] ^ right[0]) >> np.uint64(64 - depth))) if depth else 0
-    if gap > budget:
-        return
     one = lambda x: np.array([x], np.int64)
-    stack = [(depth, one(0), one(len(left)), one(0), one(len(right)), one(gap))]
+    if roots is None:
+        gap = int(np.bitwise_count((left[0] ^ right[0]) >> np.uint64(64 - depth))) if depth else 0
+        if gap > budget:
+            return
+        stack = [(depth, one(0), one(len(left)), one(0), one(len(right)), one(gap))]
+    else:
+        stack = [(depth, *roots, *roots, np.zeros(len(roots[0]), np.int64))]
     while stack:
         d, lo1, hi1, lo2, hi2, err = stack.pop()
         if len(lo1) > FRONTIER:
@@ -138,40 +151,161 @@ def forest(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
             root = root[root]
 
 
-def links(nodes: DataFrame, budget: int = 2, depth: int = 0) -> DataFrame:
-    """(src, dst) over `nodes` (fp, rep; fp unique): a forest for each pair of
-    sub-tries that spans all links within it."""
-    top = (1 << depth) - 1
-    masks = [0] + [sum(1 << b for b in bits) for k in range(1, budget + 1) for bits in itertools.combinations(range(depth), k)]
-    prefix = F.expr(f"shiftrightunsigned(fp, {64 - depth}) & {top}L") if depth else F.lit(0).cast("long")
-    other = F.col("prefix").bitwiseXOR(F.col("mask"))
-    dealt = nodes.select("fp", "rep", prefix.alias("prefix"), F.explode(F.array([F.lit(m).cast("long") for m in masks])).alias("mask"))
-    dealt = dealt.select("fp", "rep", (F.least("prefix", other) * F.lit(1 << depth) + F.greatest("prefix", other)).alias("pair"))
-
-    def walk(group: pa.Table) -> pa.Table:
-        fp = group.column("fp").to_numpy().view(np.uint64)
-        rep = group.column("rep").to_numpy()
-        order = np.argsort(fp)
-        fp, rep = fp[order], rep[order]
-        side = (fp >> np.uint64(64 - depth)) if depth else np.zeros(len(fp), np.uint64)
-        cut = int(np.searchsorted(side, side[-1]))
-        same = cut == 0
-        if same and group.column("pair")[0].as_py() % ((1 << depth) + 1):
-            return pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64())})
-        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        held, root = 0, np.arange(len(fp))
-        for i, j in trie_pairs(fp if same else fp[:cut], fp if same else fp[cut:], depth, budget, same):
-            u.append(i)
-            v.append(j if same else j + cut)
-            held += len(i)
-            if held > 1_000_000:  # fold what was found, so that a dense group keeps to its nodes
-                root = forest(len(fp), np.concatenate([*u, np.arange(len(fp))]), np.concatenate([*v, root]))
-                u, v, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
-        root = forest(len(fp), np.concatenate([*u, np.arange(len(fp))]), np.concatenate([*v, root]))
-        linked = np.flatnonzero(root != np.arange(len(fp)))
-        return pa.table({"src": rep[linked], "dst": rep[root[linked]]})
-
-    return dealt.groupBy("pair").applyInArrow(walk, "src long, dst long")
+def layout(budget: int) -> tuple[list[tuple[int, int]], list[list[int]], int]:
+    """Blocks of the 64 bits (shift, width), the orders of blocks, each with its two exact
+    ones first, and the least bits that two blocks have."""
+    n = budget + 2
+    if n > 32:
+        raise ValueError("the budget must leave blocks of two bits at least")
+    ends = [64 * i // n for i in range(n + 1)]
+    blocks = [(a, b - a) for a, b in itertools.pairwise(ends)]
+    orders = [[i, j, *(k for k in range(n) if k not in (i, j))] for i, j in itertools.combinations(range(n), 2)]
+    return blocks, orders, 2 * min(w for _, w in blocks)
+
+
+def reorder(fp: np.ndarray, blocks: list[tuple[int, int]], order: list[int]) -> np.ndarray:
+    """The fingerprints with their blocks in another order, the first on top."""
+    out = np.zeros(len(fp), np.uint64)
+    for i in order:
+        shift, width = blocks[i]
+        out = (out << np.uint64(width)) | ((fp >> np.uint64(shift)) & np.uint64((1 << width) - 1))
+    return out
+
+
+def deal(nodes: DataFrame, budget: int) -> DataFrame:
+    """(key, bits, rep) of nodes (fp, rep): each fingerprint in every order, under the
+    number of the order and its exact prefix."""
+    blocks, orders, exact = layout(budget)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = b.column(0).to_numpy().view(np.uint64)
+            for k, order in enumerate(orders):
+                bits = reorder(fp, blocks, order)
+                key = (np.uint64(k) << np.uint64(exact)) | (bits >> np.uint64(64 - exact))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(bits.view(np.int64)), b.column(1)], ["key", "bits", "rep"])
+
+    return nodes.select("fp", "rep").mapInArrow(kernel, "key long, bits long, rep long")
+
+
+class _Forest:
+    """Links among `n` rows, folded now and then, so that a dense group keeps to its rows."""
+
+    def __init__(self, n: int):
+        self.own, self.root, self.u, self.v, self.held = np.arange(n), np.arange(n), [], [], 0
+
+    def add(self, u: np.ndarray, v: np.ndarray) -> None:
+        self.u.append(u)
+        self.v.append(v)
+        self.held += len(u)
+        if self.held > 1_000_000:
+            self.fold()
+
+    def fold(self) -> None:
+        if self.u:
+            self.root = forest(len(self.own), np.concatenate([*self.u, self.own]), np.concatenate([*self.v, self.root]))
+            self.u, self.v, self.held = [], [], 0
+
+    def edges(self, rep: np.ndarray) -> pa.RecordBatch:
+        self.fold()
+        linked = np.flatnonzero(self.root != self.own)
+        return pa.RecordBatch.from_arrays([pa.array(rep[linked]), pa.array(rep[self.root[linked]])], ["src", "dst"])
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """The columns of sorted batches in pieces of about WALKED rows that end where the
+    first `keys` columns change."""
+    held: list[np.ndarray] | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        new = [c.to_numpy() for c in b.columns]
+        held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+        if len(held[0]) >= WALKED:
+            changes = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in held[:keys]])) + 1
+            if len(changes):
+                cut = int(changes[-1])
+                yield [c[:cut] for c in held]
+                held = [c[cut:] for c in held]
+    if held is not None:
+        yield held
+
+
+def links(nodes: DataFrame, budget: int = 2, subtrie: int = SUBTRIE) -> DataFrame:
+    """(src, dst) over `nodes` (fp, rep; fp unique): forests that span all links."""
+    _, _, exact = layout(budget)
+    dealt = materialize(deal(nodes, budget), "dealt")
+    heavy = materialize(dealt.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > subtrie).select("key"), "heavy")
+    rows = heavy.count()
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, bits, rep in whole_groups(batches, 1):
+            bits = bits.view(np.uint64)
+            found = _Forest(len(key))
+            order = key >> exact
+            begins = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            ends = np.append(begins[1:], len(key))
+            for k in np.unique(order):  # within an order all bits are sorted
+                lo, hi = int(np.searchsorted(order, k)), int(np.searchsorted(order, k, side="right"))
+                some = (begins >= lo) & (begins < hi) & (ends - begins > 1)
+                if some.any():
+                    part = bits[lo:hi]
+                    for i, j in trie_pairs(part, part, exact, budget, True, (begins[some] - lo, ends[some] - lo)):
+                        found.add(i + lo, j + lo)
+            yield found.edges(rep)
+
+    if not rows:
+        return dealt.repartition("key").sortWithinPartitions("key", "bits").mapInArrow(walk, "src long, dst long")
+    light = dealt.join(maybe_broadcast(heavy, rows), "key", "left_anti").repartition("key").sortWithinPartitions("key", "bits")
+    out = light.mapInArrow(walk, "src long, dst long")
+    state = dealt.join(maybe_broadcast(heavy, rows), "key", "left_semi").select("key", F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"), "bits", "rep")
+    return out.unionByName(_deeper(state, budget, exact, subtrie))
+
+
+def _deeper(state: DataFrame, budget: int, exact: int, subtrie: int) -> DataFrame:
+    """The links within heavy sub-tries: rows (key, lo, hi, bits, rep), where lo and hi are
+    the prefixes of the two sub-tries of a pair (0 to begin with)."""
+    group = ["key", "lo", "hi"]
+    out, depth, first = None, exact, True
+    while True:
+        step = min(DEEPER, 64 - depth)
+        depth += step
+        own = F.col("bits") if depth == 64 else F.expr(f"shiftrightunsigned(bits, {64 - depth})")
+        parent = F.shiftright(F.col("own"), step)
+        # the other side's prefix before this round: the row's own in a pair of one sub-trie with itself
+        other = parent if first else F.when(parent == F.col("lo"), F.col("hi")).otherwise(F.col("lo"))
+        masks = F.array(*(F.lit(m).cast("long") for m in range(1 << step)))
+        low = F.lit((1 << step) - 1).cast("long")
+        partner = F.shiftleft(F.col("other"), step).bitwiseOR(F.col("own").bitwiseAND(low).bitwiseXOR(F.col("mask")))
+        state = state.withColumn("own", own).withColumn("other", other).withColumn("mask", F.explode(masks)).withColumn("partner", partner)
+        state = state.where(F.bit_count(F.col("own").bitwiseXOR(F.col("partner"))) <= budget)
+        state = state.select("key", F.least("own", "partner").alias("lo"), F.greatest("own", "partner").alias("hi"), "bits", "rep")
+        state = materialize(state, "deeper")
+        first = False
+        counts = state.groupBy(*group).agg(F.count("*").alias("n"))
+        heavy = materialize(counts.where((F.col("n") > subtrie) & F.lit(depth < 64)).select(*group), "heavy")
+        rows = heavy.count()
+        light = state.join(maybe_broadcast(heavy, rows), group, "left_anti") if rows else state
+        at = depth
+
+        def walk(batches: Iterator[pa.RecordBatch], at=at) -> Iterator[pa.RecordBatch]:
+            for key, lo, hi, bits, rep in whole_groups(batches, 3):
+                bits = bits.view(np.uint64)
+                found = _Forest(len(key))
+                begins = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])))
+                for a, b in zip(begins.tolist(), np.append(begins[1:], len(key)).tolist(), strict=True):
+                    same = bool(lo[a] == hi[a])
+                    cut = b if same else a + int(np.count_nonzero((bits[a:b] >> np.uint64(64 - at)) == np.uint64(int(lo[a]) % (1 << 64))))
+                    if b - a > 1 and (same or a < cut < b):
+                        for i, j in trie_pairs(bits[a:cut], bits[a:b] if same else bits[cut:b], at, budget, same):
+                            found.add(i + a, j + (a if same else cut))
+                yield found.edges(rep)
+
+        walked = light.repartition(*group).sortWithinPartitions(*group, "bits").mapInArrow(walk, "src long, dst long")
+        out = walked if out is None else out.unionByName(walked)
+        if not rows:
+            return out
+        state = state.join(maybe_broadcast(heavy, rows), group, "left_semi")
 
 
 def components(edges: DataFrame, label: str = "cc") -> DataFrame:
@@ -195,29 +329,50 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
         state = state.select("node", "root")
 
 
-def near_duplicates(docs: DataFrame, budget: int = 2, shingle: int = 3, seed: int = 42) -> DataFrame:
+def near_duplicates(docs: DataFrame, budget: int = 2, shingle: int = 3, seed: int = 42, subtrie: int = SUBTRIE) -> DataFrame:
     """(doc_id, fp, component_id) for every document."""
-    marked = materialize(fingerprints(docs, shingle, seed), "fp")
-    nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    known = nodes.where(F.col("rep").isNotNull())
-    n = known.count()
-    depth = min(DEEPEST, max(0, (max(n, 1) // SUBTRIE).bit_length()))
-    edges = links(known, budget, depth)
-    roots = components(edges)
-    named = nodes.join(roots, nodes["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    return classes(materialize(fingerprints(docs, shingle, seed), "fp"), budget, subtrie)
+
+
+def classes(marked: DataFrame, budget: int = 2, subtrie: int = SUBTRIE) -> DataFrame:
+    """Adds component_id to written rows (doc_id, fp, ...)."""
+    nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "nodes")
+    roots = components(links(nodes.where(F.col("rep").isNotNull()), budget, subtrie))
+    named = nodes.join(roots, nodes["rep"] == roots["node"], "left").select("fp", "n", F.coalesce("root", "rep").alias("component_id"))
     named = materialize(named, "named")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    rows = named.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # no more than BROADCAST_ROWS fingerprints can be hot
+    hot = named.where(F.col("n") >= max(HOT, rows // BROADCAST_ROWS + 1)).drop("n")
+    rest = named.where(F.col("n") < max(HOT, rows // BROADCAST_ROWS + 1)).drop("n")
+    if hot.isEmpty():
+        return marked.join(rest, "fp").select(*marked.columns, "component_id")
+    many = marked.join(F.broadcast(hot), "fp")
+    few = marked.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(rest, "fp")
+    return many.unionByName(few).select(*marked.columns, "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, budget: int = 2, shingle: int = 3) -> DataFrame:
-    """Keeps the document of each class whose doc_id is smallest, all columns.
-    Repeats of that doc_id go too; rows without a doc_id stay."""
-    found = materialize(near_duplicates(docs, budget, shingle).select("doc_id", "component_id"), "classes")
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    gone = materialize(gone, "gone")
-    kept = docs.join(maybe_broadcast(gone, gone.count()), "doc_id", "left_anti").select(docs.columns)
-    again = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1")
-    if again.isEmpty():
-        return kept
-    lone = kept.where(F.col("doc_id").isNull())
-    return kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(lone)
+    """Keeps one document of each class, all columns: the one whose doc_id is smallest. Of
+    rows that share an id, those of other classes are judged in theirs; in one class the
+    least by fingerprint and text hash stays, and one of rows with equal id and text.
+    Rows without a doc_id stay.
+
+    A row goes by its id and a 128-bit hash of its text, which both passes make anew, so
+    the documents are neither numbered nor written."""
+    key = ["id", "k1", "k2"]
+    hashes = [F.xxhash64(F.col("text"), F.lit(i)).alias(f"k{i}") for i in (1, 2)]
+    marked = materialize(fingerprints(docs, shingle, 42, *hashes), "fp")
+    found = materialize(classes(marked, budget).withColumnRenamed("doc_id", "id"), "classes").where(F.col("id").isNotNull())
+    firsts = found.where(F.col("id") == F.col("component_id")).groupBy(*key, "fp").agg(F.count("*").alias("rows"))
+    firsts = materialize(firsts, "firsts")
+    tied = firsts.groupBy("id").agg(F.min(F.struct("fp", "k1", "k2")).alias("least"), F.count("*").alias("n")).where(F.col("n") > 1)
+    also = firsts.join(tied, "id").where(F.struct("fp", "k1", "k2") != F.col("least")).select(*key)
+    gone = materialize(found.where(F.col("id") != F.col("component_id")).select(*key).unionByName(also).distinct(), "gone")
+    rows = pack(docs, F.col("doc_id").cast("long").alias("id"), *hashes)
+    kept = rows.join(maybe_broadcast(gone, gone.count()), key, "left_anti")
+    again = firsts.where(F.col("rows") > 1).select(*key)
+    n = again.count()
+    if n:
+        lone = kept.join(maybe_broadcast(again, n), key, "left_anti")
+        kept = lone.unionByName(kept.join(maybe_broadcast(again, n), key, "left_semi").dropDuplicates(key))
+    return kept.select("document.*")

@@ -453,9 +453,10 @@ def test_simhash(got):
         assert rows[i]["component_id"] == find(i)
 
 
-@pytest.mark.parametrize("depth", [0, 3, 7])
-def test_trie_join_is_exact(spark, depth):
-    rng = random.Random(depth)
+@pytest.mark.parametrize("budget,subtrie", [(2, 100), (2, 10_000), (5, 300)])
+def test_trie_join_is_exact(spark, budget, subtrie):
+    """Also where sub-tries are over the bound and have to be cut deeper, again and again."""
+    rng = random.Random(subtrie)
     fps = set()
     while len(fps) < 1500:
         x = rng.getrandbits(64) if rng.random() < 0.3 or not fps else rng.choice(sorted(fps)[:50])
@@ -463,7 +464,7 @@ def test_trie_join_is_exact(spark, depth):
             x ^= 1 << rng.randrange(64)
         fps.add(x)
     nodes = [(x - (1 << 64) if x >> 63 else x, i) for i, x in enumerate(sorted(fps))]
-    edges = simhash.links(spark.createDataFrame(nodes, "fp long, rep long"), 2, depth)
+    edges = simhash.links(spark.createDataFrame(nodes, "fp long, rep long"), budget, subtrie)
     found = {r.node: r.root for r in simhash.components(edges).collect()}
     order = sorted(fps)
     root = list(range(len(order)))
@@ -475,13 +476,24 @@ def test_trie_join_is_exact(spark, depth):
 
     for a in range(len(order)):
         for b in range(a):
-            if (order[a] ^ order[b]).bit_count() <= 2:
+            if (order[a] ^ order[b]).bit_count() <= budget:
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     assert all(found.get(i, i) == find(i) for i in range(len(order)))
     assert len(found) == sum(find(i) != i or any(find(j) == i for j in range(len(order)) if j != i) for i in range(len(order)))
 
 
+def test_near_duplicates_lose_no_other_text(spark):
+    """Rows that share an id but not a text are judged each in its class; equal rows are one;
+    columns named as the working ones come through."""
+    words = [" ".join(random.Random(i).choices("abcdefghijklmnop", k=80)) for i in range(4)]
+    rows = [(1, words[0], 11), (1, words[1], 12), (1, words[1], 12), (2, words[0], 13), (3, words[2], 14), (None, words[2], 15), (None, words[3], 16), (5, None, 17), (6, "", 18)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k1 long").withColumns({c: F.lit(c) for c in ("document", "k2", "id", "fp", "component_id")})
+    out = simhash.drop_near_duplicates(docs)
+    assert out.columns == docs.columns
+    assert sorted(r.k1 for r in out.collect()) == [11, 12, 14, 15, 16, 17]
+
+
 def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(300)] + [(900, 901)]
     random.Random(0).shuffle(edges)
