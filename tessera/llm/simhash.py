@@ -331,24 +331,29 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
 
 def near_duplicates(docs: DataFrame, budget: int = 2, shingle: int = 3, seed: int = 42, subtrie: int = SUBTRIE) -> DataFrame:
     """(doc_id, fp, component_id) for every document."""
-    return classes(materialize(fingerprints(docs, shingle, seed), "fp"), budget, subtrie)
+    return classes(materialize(fingerprints(docs, shingle, seed), "fp"), budget, subtrie).drop("class")
 
 
 def classes(marked: DataFrame, budget: int = 2, subtrie: int = SUBTRIE) -> DataFrame:
-    """Adds component_id to written rows (doc_id, fp, ...)."""
+    """Adds class (one of its fingerprints) and component_id to written rows (doc_id, fp,
+    ...). Fingerprints are the nodes, so rows that share an id but not a text join nothing."""
     nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "nodes")
-    roots = components(links(nodes.where(F.col("rep").isNotNull()), budget, subtrie))
-    named = nodes.join(roots, nodes["rep"] == roots["node"], "left").select("fp", "n", F.coalesce("root", "rep").alias("component_id"))
+    known = nodes.where(F.col("rep").isNotNull())
+    roots = components(links(known.select("fp", F.col("fp").alias("rep")), budget, subtrie)).select(F.col("node").alias("fp"), F.col("root").alias("class"))
+    linked = materialize(roots.join(known, "fp").select("fp", "class", "rep"), "linked")
+    least = linked.groupBy("class").agg(F.min("rep").alias("least"))
+    named = nodes.join(linked.select("fp", "class").join(least, "class"), "fp", "left")
+    named = named.select("fp", "n", F.coalesce("class", "fp").alias("class"), F.coalesce("least", "rep").alias("component_id"))
     named = materialize(named, "named")
     rows = named.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # no more than BROADCAST_ROWS fingerprints can be hot
     hot = named.where(F.col("n") >= max(HOT, rows // BROADCAST_ROWS + 1)).drop("n")
     rest = named.where(F.col("n") < max(HOT, rows // BROADCAST_ROWS + 1)).drop("n")
     if hot.isEmpty():
-        return marked.join(rest, "fp").select(*marked.columns, "component_id")
+        return marked.join(rest, "fp").select(*marked.columns, "class", "component_id")
     many = marked.join(F.broadcast(hot), "fp")
     few = marked.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(rest, "fp")
-    return many.unionByName(few).select(*marked.columns, "component_id")
+    return many.unionByName(few).select(*marked.columns, "class", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, budget: int = 2, shingle: int = 3) -> DataFrame:
@@ -363,10 +368,10 @@ def drop_near_duplicates(docs: DataFrame, budget: int = 2, shingle: int = 3) ->
     hashes = [F.xxhash64(F.col("text"), F.lit(i)).alias(f"k{i}") for i in (1, 2)]
     marked = materialize(fingerprints(docs, shingle, 42, *hashes), "fp")
     found = materialize(classes(marked, budget).withColumnRenamed("doc_id", "id"), "classes").where(F.col("id").isNotNull())
-    firsts = found.where(F.col("id") == F.col("component_id")).groupBy(*key, "fp").agg(F.count("*").alias("rows"))
+    firsts = found.where(F.col("id") == F.col("component_id")).groupBy(*key, "fp", "class").agg(F.count("*").alias("rows"))
     firsts = materialize(firsts, "firsts")
-    tied = firsts.groupBy("id").agg(F.min(F.struct("fp", "k1", "k2")).alias("least"), F.count("*").alias("n")).where(F.col("n") > 1)
-    also = firsts.join(tied, "id").where(F.struct("fp", "k1", "k2") != F.col("least")).select(*key)
+    tied = firsts.groupBy("id", "class").agg(F.min(F.struct("fp", "k1", "k2")).alias("least"), F.count("*").alias("n")).where(F.col("n") > 1)
+    also = firsts.join(tied, ["id", "class"]).where(F.struct("fp", "k1", "k2") != F.col("least")).select(*key)
     gone = materialize(found.where(F.col("id") != F.col("component_id")).select(*key).unionByName(also).distinct(), "gone")
     rows = pack(docs, F.col("doc_id").cast("long").alias("id"), *hashes)
     kept = rows.join(maybe_broadcast(gone, gone.count()), key, "left_anti")
