@@ -3,42 +3,53 @@
 An item is cut into windows of `window` consecutive words (a shorter item is one
 window); a window's set elements are its word shingles. A window that occurs in
 a document needs all its shingles there, so the prefix that must be joined is one
-shingle: the rarest by its count over the whole corpus. A document position with
-a prefix shingle is a candidate for the windows of that prefix; the shingle's
-offset within the window bounds the start, and start and length must fit the
-document. What is left is verified word by word.
-
-The benchmark is read in blocks of a bounded number of windows, and a block is what
-goes to every executor. With one block a document's row is finished where it is read.
-A larger benchmark is matched block after block against all documents: each pass
-writes its hits, which meet by document afterwards, so neither the driver nor a task
-ever holds more than a block.
+shingle: the rarest by its count over the whole corpus. The join is on that shingle:
+every document position that has it, with the words around it, meets the windows of that
+prefix. The shingle's offset within the window bounds the start, and start and length
+must fit the document; what is left is verified word by word.
+
+Documents are read three times whatever the size of the benchmark: to count its
+shingles, to find positions of the chosen ones, and to hand on the result. Neither the
+driver nor a task holds the benchmark: what goes to executors is a bitmap of `BITS`
+bits, of a fixed size, that lets through the shingles to look for (a false one costs a
+row and joins nothing). Shingles and windows are tables, shuffled by shingle, or broadcast
+where their counted rows are few. Positions are split off and broadcast against their
+windows where a shingle is very frequent, so that it is no single task.
+
+What is found belongs to a text, not to a row: rows go by a 128-bit hash of their text,
+which each pass makes anew, so no numbering has to survive.
 
 Edge cases: a null or wordless text has no words and no hits; an item without
 words never occurs; repeated item rows count once by item_id (rows that share an
-id add their windows to it); null item_ids are left out; an empty table on either
-side gives no hits. All columns of the documents pass through `flag` untouched.
+id add their windows to it); null item_ids are left out; equal texts have equal
+results; an empty table on either side gives no hits. All columns of the documents pass
+through `flag`; a column of theirs with the name of one that it adds is replaced.
 """
 
 from __future__ import annotations
 
-import hashlib
-import itertools
+from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import map_texts, materialize, maybe_broadcast
+from .common import BROADCAST_ROWS, map_texts, materialize, maybe_broadcast, others, pack, quoted
 
-#: Windows in a block that is sent to every executor.
-BLOCK_WINDOWS = 200_000
+#: Bits of the filter that goes to every executor; its bitmaps' size in Spark's aggregate.
+BITS, BUCKET = 1 << 26, 32_768
+#: Most entries of a worker's buffer; positions from which a shingle is hot.
+BUFFER, HOT = 100_000, 100_000
 #: Bytes that are no word character become blanks, capitals become small.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+#: A word of a text that is not lowered yet.
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+ADDED = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -46,214 +57,195 @@ def words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_WORDS).split()
 
 
-def codes(ids: np.ndarray, shingle: int) -> np.ndarray:
-    """A code for each shingle of word ids; 0 where a word is unknown (id 0)."""
-    n = len(ids) - shingle + 1
+def hashes(tokens: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, tokens, repeat(7)), np.uint64, len(tokens))
+
+
+def codes(h: np.ndarray, shingle: int) -> np.ndarray:
+    """A code for each shingle of word hashes, of its size as well."""
+    n = len(h) - shingle + 1
     if n < 1:
         return np.zeros(0, np.uint64)
-    out, known = np.zeros(n, np.uint64), np.ones(n, bool)
+    out = np.full(n, shingle, np.uint64)
     for k in range(shingle):
-        part = ids[k : k + n]
-        out = (out ^ part.astype(np.uint64)) * _MIX
+        out = (out ^ h[k : k + n]) * _MIX
         out ^= out >> np.uint64(29)
-        known &= part > 0
-    return np.where(known, out | np.uint64(1), np.uint64(0))
-
-
-class Block:
-    """Some windows of the benchmark, with their words as ids."""
-
-    def __init__(self, rows: list[tuple[str, list[bytes]]], window: int, shingle: int):
-        self.window, self.vocabulary = window, {}
-        self.names = sorted({name for name, _ in rows})
-        at = {name: i for i, name in enumerate(self.names)}
-        seen: dict[tuple[int, ...], set[int]] = {}
-        for name, item in rows:
-            ids = tuple(self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in item)
-            for s in range(max(1, len(ids) - window + 1)):
-                seen.setdefault(ids[s : s + window], set()).add(at[name])
-        self.windows = [w for w in seen if w]
-        self.owners = [np.fromiter(sorted(seen[w]), np.int64) for w in self.windows]
-        self.lengths = np.array([len(w) for w in self.windows], np.int64)
-        self.ids = np.zeros((len(self.windows), window), np.int64)
-        for i, w in enumerate(self.windows):
-            self.ids[i, : len(w)] = w
-        # shorter windows have shorter shingles, one group for each size
-        self.sizes = {int(k): np.flatnonzero(np.minimum(self.lengths, shingle) == k) for k in np.unique(np.minimum(self.lengths, shingle))}
-        self.shingles = {k: np.unique(np.concatenate([codes(np.array(self.windows[i]), k) for i in rows_])) for k, rows_ in self.sizes.items()}
-        self.prefix: dict[int, tuple[np.ndarray, ...]] = {}
-
-    def encode(self, tokens: list[bytes]) -> np.ndarray:
-        get = self.vocabulary.get
-        return np.fromiter((get(w, 0) for w in tokens), np.int64, len(tokens))
-
-    def count(self, ids: np.ndarray, totals: dict[int, np.ndarray]) -> None:
-        for k, known in self.shingles.items():
-            c = codes(ids, k)
-            c = c[c > 0]
-            at = np.searchsorted(known, c)
-            at = at[(at < len(known)) & (known[np.minimum(at, len(known) - 1)] == c)]
-            if len(at):
-                np.add.at(totals[k], at, 1)
-
-    def choose(self, totals: dict[int, np.ndarray]) -> None:
-        """Takes each window's rarest shingle as its prefix (the first on ties)."""
-        for k, rows in self.sizes.items():
-            best = []
-            for i in rows:
-                c = codes(np.array(self.windows[i]), k)
-                at = np.searchsorted(self.shingles[k], c)
-                o = int(np.argmin(totals[k][at]))
-                best.append((int(at[o]), o))
-            code = np.array([b[0] for b in best], np.int64)
-            order = np.argsort(code, kind="stable")
-            used, first = np.unique(code[order], return_index=True)
-            self.prefix[k] = (self.shingles[k][used], np.append(first, len(order)), rows[order], np.array([b[1] for b in best], np.int64)[order])
-
-    def match(self, ids: np.ndarray, hit: np.ndarray) -> set[int]:
-        """Marks the words inside occurring windows; gives the items they are of."""
-        found: set[int] = set()
-        for k, (known, first, rows, offsets) in self.prefix.items():
-            c = codes(ids, k)
-            at = np.searchsorted(known, c)
-            at[at == len(known)] = 0
-            place = np.flatnonzero((known[at] == c) & (c > 0)) if len(known) and len(c) else np.zeros(0, np.int64)
-            for cut in range(0, len(place), 1 << 15):
-                p = place[cut : cut + (1 << 15)]
-                lo, n = first[at[p]], first[at[p] + 1] - first[at[p]]
-                row = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                start, w = np.repeat(p, n) - offsets[row], rows[row]
-                fits = (start >= 0) & (start + self.lengths[w] <= len(ids))
-                start, w = start[fits], w[fits]
-                for j in range(self.window):
-                    same = (j >= self.lengths[w]) | (ids[np.minimum(start + j, len(ids) - 1)] == self.ids[w, j])
-                    start, w = start[same], w[same]
-                for x in np.unique(w):
-                    found.update(self.owners[x].tolist())
-                if len(w):
-                    edge = np.zeros(len(ids) + 1, np.int64)
-                    np.add.at(edge, start, 1)
-                    np.add.at(edge, start + self.lengths[w], -1)
-                    hit |= np.cumsum(edge[:-1]) > 0
-        return found
-
-
-def blocks(items: DataFrame, window: int, shingle: int, size: int = BLOCK_WINDOWS) -> Iterator[Block]:
-    """The benchmark in blocks of about `size` windows, read row by row."""
-    rows, held = [], 0
-    source = items.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text"))
-    for r in source.toLocalIterator():
-        tokens = words(None if r["text"] is None else bytes(r["text"]))
-        if tokens:
-            rows.append((r["item_id"], tokens))
-            held += max(1, len(tokens) - window + 1)
-        if held >= size:
-            yield Block(rows, window, shingle)
-            rows, held = [], 0
-    if rows:
-        yield Block(rows, window, shingle)
-
-
-def fit(docs: DataFrame, block: Block) -> Block:
-    """Chooses the block's prefixes by its shingles' counts over all documents."""
+    return out
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = {k: np.zeros(len(s), np.int64) for k, s in block.shingles.items()}
-        for batch in batches:
-            for t in batch.column(0).cast(pa.binary()).to_pylist():
-                block.count(block.encode(words(t)), totals)
-        for k, n in totals.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_pydict({"size": np.full(len(at), k), "at": at, "n": n[at]})
 
-    seen = docs.select("text").transform(map_texts, kernel, "size long, at long, n long").groupBy("size", "at").agg(F.sum("n").alias("n"))
-    totals = {k: np.zeros(len(s), np.int64) for k, s in block.shingles.items()}
-    for r in seen.toLocalIterator(prefetchPartitions=True):  # no more rows than the block has shingles
-        totals[r["size"]][r["at"]] = r["n"]
-    block.choose(totals)
-    return block
+class Filter:
+    """A bitmap of codes: what is not in it need not be looked for."""
 
+    def __init__(self, codes_: DataFrame, sizes: list[int]):
+        at = F.pmod(F.col("code"), F.lit(BITS))
+        rows = codes_.select(F.floor(at / BUCKET).cast("int").alias("bucket"), F.pmod(at, F.lit(BUCKET)).alias("at"))
+        parts = rows.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits")).collect()  # BITS at most
+        self.bits, self.sizes = np.zeros(BITS // 8, np.uint8), sizes
+        for r in parts:
+            raw = np.frombuffer(bytes(r["bits"]), np.uint8)
+            self.bits[r["bucket"] * (BUCKET // 8) :][: len(raw)] = raw
 
-_FOUND = [("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())]
+    def places(self, c: np.ndarray) -> np.ndarray:
+        """Where codes are that may be looked for."""
+        at = c & np.uint64(BITS - 1)
+        return np.flatnonzero(self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
 
 
-def _flag_block(docs: DataFrame, block: Block | None, keep: bool) -> DataFrame:
-    """The whole answer, if the benchmark is one block (or none)."""
-    at = docs.columns.index("text")
+def windows(items: DataFrame, window: int, shingle: int) -> DataFrame:
+    """(wid, words, item_id, codes): each window of each item; wid is a hash of its words."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[] for _ in _FOUND]
-            for t in batch.column(at).cast(pa.binary()).to_pylist():
+        for b in batches:
+            rows: list[tuple] = []
+            for name, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 tokens = words(t)
-                hit = np.zeros(len(tokens), bool)
-                names = [block.names[i] for i in block.match(block.encode(tokens), hit)] if block else []
-                n = int(hit.sum())
-                for column, x in zip(out, (len(tokens), n, len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), n > 0), strict=True):
-                    column.append(x)
-            if keep:
-                yield batch.filter(pa.array([not x for x in out[-1]], pa.bool_()))
-            else:
-                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, kind) for x, (_, kind) in zip(out, _FOUND, strict=True))], [*batch.schema.names, *(name for name, _ in _FOUND)])
+                h = hashes(tokens)
+                size = min(shingle, window, len(tokens))
+                c = codes(h, size).view(np.int64) if size else None
+                for s in range(max(1, len(tokens) - window + 1) if tokens else 0):
+                    own = tokens[s : s + window]
+                    rows.append((xxhash.xxh128_digest(b" ".join(own)), own, name, c[s : s + len(own) - size + 1].tolist(), size))
+                if len(rows) > BUFFER // 10:
+                    yield out(rows)
+                    rows = []
+            yield out(rows)
 
-    if keep:
-        return docs.transform(map_texts, kernel, docs.schema)
-    added = T.StructType().add("n_words", "long").add("n_hit", "long").add("n_items", "long").add("items_sha256", "string").add("contaminated", "boolean")
-    return docs.transform(map_texts, kernel, T.StructType(docs.schema.fields + added.fields))
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        kinds = (pa.binary(), pa.list_(pa.binary()), pa.string(), pa.list_(pa.int64()), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["wid", "words", "item_id", "codes", "size"])
+
+    source = items.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("text"))
+    return source.transform(map_texts, kernel, "wid binary, words array<binary>, item_id string, codes array<long>, size int")
 
 
-def _hits(keyed: DataFrame, block: Block) -> DataFrame:
-    """(rid, item) and (rid, start, end) rows of the documents that a block hits: item is
-    null in the latter, which are the runs of hit words."""
+def count_codes(texts: DataFrame, wanted: Filter) -> DataFrame:
+    """(code, n): how often the filter's shingles occur in the texts."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple] = []
-            for rid, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                tokens = words(t)
-                hit = np.zeros(len(tokens), bool)
-                names = [block.names[i] for i in block.match(block.encode(tokens), hit)]
-                if names:
-                    edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
-                    rows += [(rid, n, None, None) for n in names] + [(rid, None, s, e) for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["rid", "item", "start", "end"])
-
-    return keyed.select("rid", "text").transform(map_texts, kernel, "rid long, item string, start long, end long")
-
-
-def _flag_many(docs: DataFrame, found: Iterator[Block], keep: bool) -> DataFrame:
-    """The same for more blocks: a pass for each, then hits meet by document."""
-    keyed = docs.withColumn("rid", F.monotonically_increasing_id())
-    hits = None
-    for block in found:
-        own = materialize(_hits(keyed, fit(docs, block)), "hits")
-        hits = own if hits is None else hits.unionByName(own)
-    if keep:
-        gone = materialize(hits.select("rid").distinct(), "hit-docs")
-        return keyed.join(maybe_broadcast(gone, gone.count()), "rid", "left_anti").select(docs.columns)
-    runs = F.array_sort(F.collect_list(F.when(F.col("start").isNotNull(), F.struct("start", "end"))))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("n"))
-    step = lambda a, r: F.struct(F.greatest(a["at"], r["end"]).alias("at"), (a["n"] + F.greatest(F.lit(0), r["end"] - F.greatest(a["at"], r["start"]))).alias("n"))
-    by = hits.groupBy("rid").agg(F.array_sort(F.collect_set("item")).alias("items"), F.aggregate(runs, zero, step, lambda a: a["n"]).alias("n_hit"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            b = pa.RecordBatch.from_arrays([pa.array(np.fromiter(seen.keys(), np.int64, len(seen))), pa.array(np.fromiter(seen.values(), np.int64, len(seen)))], ["code", "n"])
+            seen.clear()
+            return b
+
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(words(t)) for t in b.column(1).cast(pa.binary()).to_pylist()], pa.int64())], ["rid", "n_words"])
+            for t in b.column(0).cast(pa.binary()).to_pylist():
+                h = hashes(words(t))
+                for k in wanted.sizes:
+                    c = codes(h, k)
+                    at = wanted.places(c)
+                    if len(at):
+                        found, n = np.unique(c[at].view(np.int64), return_counts=True)
+                        seen.update(dict(zip(found.tolist(), n.tolist(), strict=True)))
+                if len(seen) > BUFFER:
+                    yield out()
+        yield out()
 
-    sizes = keyed.select("rid", "text").transform(map_texts, count, "rid long, n_words long")
-    items = F.coalesce("items", F.array().cast("array<string>"))
-    return keyed.join(sizes, "rid").join(by, "rid", "left").select(
-        *docs.columns, "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.size(items).cast("long").alias("n_items"),
-        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"),
-    )
+    return texts.select("text").transform(map_texts, kernel, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def flag(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 3, keep: bool = False, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+def positions(texts: DataFrame, wanted: Filter, window: int) -> DataFrame:
+    """(k1, k2, code, at, before, around) of each place of a wanted shingle: its word
+    position, and the words of the text from up to a window before it on to one after."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for b in batches:
+            for k1, k2, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True):
+                tokens = words(t)
+                h = hashes(tokens)
+                for k in wanted.sizes:
+                    c = codes(h, k)
+                    at = wanted.places(c)
+                    for p, code in zip(at.tolist(), c[at].view(np.int64).tolist(), strict=True):
+                        low = max(0, p - window + 1)
+                        rows.append((k1, k2, code, p, p - low, tokens[low : p + window]))
+                        if len(rows) >= BUFFER // 10:
+                            yield out(rows)
+                            rows = []
+        yield out(rows)
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * 6
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.binary()))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["k1", "k2", "code", "at", "before", "around"])
+
+    return texts.select("k1", "k2", "text").transform(map_texts, kernel, "k1 long, k2 long, code long, at int, before int, around array<binary>")
+
+
+def _keys() -> list[Column]:
+    return [F.xxhash64(F.coalesce("text", F.lit("")), F.lit(i)).alias(f"k{i}") for i in (1, 2)]
+
+
+def find(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 3) -> tuple[DataFrame, DataFrame] | None:
+    """(k1, k2, start, end, wid) of every occurrence of a window in a text, and (wid,
+    item_id) of the windows; None if there is nothing to look for."""
+    cut = materialize(windows(items, window, shingle), "windows")
+    sizes = sorted(r["size"] for r in cut.select("size").distinct().collect())
+    if not sizes:
+        return None
+    texts = docs.select(*_keys(), F.col("text").alias("text"))
+    elements = cut.select("wid", "words", F.posexplode("codes").alias("offset", "code")).distinct()
+    elements = materialize(elements, "shingles")
+    counted = materialize(count_codes(texts, Filter(elements, sizes)), "shingle-counts")
+    # a window whose rarest shingle is nowhere occurs nowhere
+    rarity = elements.join(counted, "code", "left").groupBy("wid", "words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "code")).alias("rarest"))
+    prefix = rarity.where(F.col("rarest.n") > 0).select("wid", "words", F.size("words").alias("length"), F.col("rarest.offset").alias("offset"), F.col("rarest.code").alias("code"), F.col("rarest.n").alias("n"))
+    prefix = materialize(prefix, "prefixes")
+    found = materialize(positions(texts, Filter(prefix, sizes), window), "positions")
+
+    def verify(places: DataFrame, of: DataFrame) -> DataFrame:
+        start = F.col("at") - F.col("offset")
+        first = F.col("before") - F.col("offset")
+        joined = places.join(of, "code").where((start >= 0) & (first + F.col("length") <= F.size("around")))
+        same = F.slice("around", first + 1, F.col("length")) == F.col("words")
+        return joined.where(same).select("k1", "k2", start.alias("start"), (start + F.col("length")).alias("end"), "wid")
+
+    rows = prefix.count()
+    if rows <= BROADCAST_ROWS:
+        hits = verify(found, F.broadcast(prefix))
+    else:
+        # no more than BROADCAST_ROWS shingles can be hot
+        hot = F.col("n") >= max(HOT, found.count() // max(BROADCAST_ROWS, 1) + 1)
+        often = materialize(prefix.where(hot), "hot")
+        name = F.broadcast(often.select("code").distinct())
+        hits = verify(found.join(name, "code", "left_semi"), maybe_broadcast(often, often.count()))
+        hits = hits.unionByName(verify(found.join(name, "code", "left_anti"), prefix.where(~hot)))
+    return materialize(hits.distinct(), "hits"), cut.select("wid", "item_id").distinct()
+
+
+def flag(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 3, keep: bool = False) -> DataFrame:
     """Adds n_words, n_hit, n_items, items_sha256 and contaminated; with `keep` gives the
     uncontaminated documents as they came instead."""
-    found = blocks(items, window, shingle, block_windows)
-    first, second = next(found, None), next(found, None)
-    if second is None:
-        return _flag_block(docs, fit(docs, first) if first else None, keep)
-    return _flag_many(docs, itertools.chain((first, second), found), keep)
+    found = find(docs, items, window, shingle)
+    rows = pack(docs, *_keys(), F.col("text").alias("text"))
+    key = ["k1", "k2"]
+    if keep:
+        if found is None:
+            return docs
+        gone = materialize(found[0].select(*key).distinct(), "hit-texts")
+        return rows.join(maybe_broadcast(gone, gone.count()), key, "left_anti").select("document.*")
+    n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(_WORD)).cast("long")
+    if found is None:
+        by = docs.sparkSession.createDataFrame([], "k1 long, k2 long, n_hit long, items array<string>")
+    else:
+        hits, owners = found
+        runs = F.array_sort(F.collect_set(F.struct("start", "end")))
+        zero = F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("n"))
+        step = lambda a, r: F.struct(F.greatest(a["at"], r["end"]).alias("at"), (a["n"] + F.greatest(F.lit(0), r["end"] - F.greatest(a["at"], r["start"]))).alias("n"))
+        covered = hits.groupBy(*key).agg(F.aggregate(runs, zero, step, lambda a: a["n"]).alias("n_hit"))
+        own = hits.select(*key, "wid").distinct().join(owners.select("wid", "item_id"), "wid").select(*key, "item_id").distinct()
+        by = covered.join(own.groupBy(*key).agg(F.array_sort(F.collect_list("item_id")).alias("items")), key)
+        by = materialize(by, "hit-texts")
+    items_ = F.coalesce("items", F.array().cast("array<string>"))
+    taken = [F.col("document." + quoted(c)) for c in _names(docs)]
+    return rows.join(maybe_broadcast(by, by.count()), key, "left").select(
+        *taken, n_words.alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items_).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items_, ","), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"),
+    )
+
+
+def _names(docs: DataFrame) -> list[str]:
+    return docs.select(*others(docs, ADDED)).columns

@@ -241,13 +241,41 @@ def test_decontamination(got):
     assert sum(r["contaminated"] for r in rows.values()) >= 3
 
 
-def test_decontamination_in_blocks(spark, folder):
-    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+def test_decontamination_by_shuffle(spark, folder, monkeypatch):
+    """A benchmark too large to broadcast, with and without hot shingles: the same answer.
+    Columns named as added ones are replaced, others come through."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", F.lit(7).alias("N_Words"), F.lit(8).alias("rid"), F.lit(9).alias("k1"), F.lit(10).alias("document"))
     items = spark.read.parquet(f"{folder}/benchmark.parquet")
-    assert len(list(decontam.blocks(items, 10, 3, size=1))) > 2
     answer = lambda df: sorted(map(repr, df.drop("text").collect()))
-    assert answer(decontam.flag(docs, items)) == answer(decontam.flag(docs, items, block_windows=1))
-    assert answer(decontam.flag(docs, items, keep=True)) == answer(decontam.flag(docs, items, keep=True, block_windows=1))
+    one, kept = decontam.flag(docs, items), decontam.flag(docs, items, keep=True)
+    assert one.columns == ["doc_id", "text", "rid", "k1", "document", *decontam.ADDED]
+    assert kept.columns == docs.columns and all((r.rid, r.k1, r.document, r.N_Words) == (8, 9, 10, 7) for r in kept.collect())
+    want = answer(one), answer(kept)
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
+    for hot in (1, 10**9):
+        monkeypatch.setattr(decontam, "HOT", hot)
+        assert (answer(decontam.flag(docs, items)), answer(decontam.flag(docs, items, keep=True))) == want
+
+
+def test_decontamination_of_passages(spark):
+    """Random passages of items in random texts, against every window."""
+    rng = random.Random(9)
+    item = lambda: [rng.choice(["a", "b", "c", "d1", "Été", "f"]) for _ in range(rng.choice([2, 9, 10, 11, 30]))]
+    items = [(i, item()) for i in range(30)]
+    docs = [(i, sum((rng.choice([w[rng.randrange(len(w)) :][: rng.randint(1, 14)], [rng.choice("abcfxyz")]]) for _, w in rng.choices(items, k=12)), [])) for i in range(60)]
+    found = decontam.flag(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string"), spark.createDataFrame([(i, ", ".join(w)) for i, w in items], "item_id long, text string"))
+    rows = by_id([r.asDict() for r in found.collect()])
+    low = [(str(i), [lower(x) for x in w]) for i, w in items]
+    for i, w in docs:
+        w, hit, names = [lower(x) for x in w], set(), set()
+        for name, x in low:
+            for win in [x[s : s + 10] for s in range(max(1, len(x) - 9))]:
+                for s in range(len(w) - len(win) + 1):
+                    if w[s : s + len(win)] == win:
+                        names.add(name)
+                        hit.update(range(s, s + len(win)))
+        assert (rows[i]["n_hit"], rows[i]["n_items"]) == (len(hit), len(names))
+        assert rows[i]["items_sha256"] == hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
 
 
 def test_toxicity(got):
