@@ -7,11 +7,13 @@ source expects target/size copies. Expected copies are summed over the source's
 documents in a fixed order, one random offset is added, and a document is emitted
 once for each integer that its part of the sum crosses.
 
-The order runs through every second size class upwards and back down through the
-others: neighbours are alike, and both ends are small, so the words taken stay near
-the target. The running sum is made in two steps, within a bucket of (source, size
-class, residue of the id) and over the buckets' counts, so a source that holds a
-third of all rows is spread over many tasks.
+The order runs through every second size class upwards, by rising size, and back down
+through the others, by falling size: neighbours are alike, and both ends are small, so the
+words taken stay near the target. Rows of equal size follow the MD5 of their id, which is
+the whole order: it does not depend on how the rows are split. The running sum is made in
+steps, over the counts of size classes, of sizes in a class and of buckets (the first hex
+digits of the MD5) of a size, and then within a bucket; so a source, or one size, that
+holds a third of all rows is spread over many tasks.
 
 Edge cases: a null text has size 0 and is never taken in words; a null source is a
 source of its own, last in order; repeated rows and null ids are rows like any
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, materialize
 
-#: Rows of one source and size class that should meet in a task, at most about.
-BUCKET_ROWS = 4_000_000
+#: Hex digits of the id's MD5 by which rows of one source and size are dealt.
+DIGITS = 3
 
 
 def sizes(docs: DataFrame, *more: Column) -> DataFrame:
@@ -58,22 +60,25 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float
 def place(sized: DataFrame, weights: tuple[int, ...], most: float, seed: int) -> DataFrame:
     """Adds source_size, target and copies to each row of written `sizes`."""
     offset = random.Random(seed).random()
-    rows = sized.count()
-    residues = 64
-    while rows // residues > BUCKET_ROWS:
-        residues *= 2
     step = F.floor(F.log2(F.col("size") + F.lit(1.0)) * 4).cast("int")
-    sized = sized.withColumn("step", step)
-    sized = sized.withColumn("step", F.when(F.col("step") % 2 == 0, F.col("step")).otherwise(1000 - F.col("step"))).withColumn("residue", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(residues)))
-    bucket = ["nowhere", "source", "step", "residue"]
+    up = F.col("step") % 2 == 0
+    hashed = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    sized = sized.withColumn("step", step).withColumns({
+        "step": F.when(up, F.col("step")).otherwise(1000 - F.col("step")), "by_size": F.when(up, F.col("size")).otherwise(-F.col("size")),
+        "bucket": F.substring(hashed, 1, DIGITS), "rest": F.substring(hashed, DIGITS + 1, 32),
+    })
+    levels = ["nowhere", "source", "step", "by_size", "bucket"]
     earlier = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-    counts = sized.groupBy(*bucket).agg(F.count("*").alias("n"))
-    # the rows before a bucket: those of smaller steps, and of smaller residues in its step
-    steps = counts.groupBy("nowhere", "source", "step").agg(F.sum("n").alias("n"))
-    steps = steps.select("nowhere", "source", "step", F.coalesce(F.sum("n").over(earlier("nowhere", "source").orderBy("step")), F.lit(0)).alias("before"))
-    inner = F.coalesce(F.sum("n").over(earlier("nowhere", "source", "step").orderBy("residue")), F.lit(0))
-    counts = counts.withColumn("inner", inner).join(steps.join(targets(sized, weights, most), ["nowhere", "source"]), ["nowhere", "source", "step"]).withColumn("ahead", F.col("before") + F.col("inner"))
-    placed = sized.join(counts, bucket).withColumn("at", F.col("ahead") + F.row_number().over(Window.partitionBy(*bucket).orderBy("size", "doc_id")))
+    counts = sized.groupBy(*levels).agg(F.count("*").alias("n"))
+    # the rows before a bucket: those of earlier classes, of earlier sizes in its class, of earlier buckets in its size
+    ahead = targets(sized, weights, most)
+    for depth in range(3, 6):
+        by, key = levels[: depth - 1], levels[depth - 1]
+        part = counts.groupBy(*levels[:depth]).agg(F.sum("n").alias("n")) if depth < 5 else counts
+        part = part.select(*levels[:depth], F.coalesce(F.sum("n").over(earlier(*by).orderBy(key)), F.lit(0)).alias("own"))
+        held = [c for c in ahead.columns if c not in by and c != "ahead"]
+        ahead = part.join(ahead, by).select(*levels[:depth], *held, (F.col("own") + (F.col("ahead") if "ahead" in ahead.columns else F.lit(0))).alias("ahead"))
+    placed = sized.join(ahead, levels).withColumn("at", F.col("ahead") + F.row_number().over(Window.partitionBy(*levels).orderBy("rest", "doc_id")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     placed = placed.withColumn("rate", rate)
     copies = F.floor(F.col("rate") * F.col("at") + F.lit(offset)) - F.floor(F.col("rate") * (F.col("at") - 1) + F.lit(offset))
@@ -102,7 +107,7 @@ def emit(marked: DataFrame) -> DataFrame:
     return marked.withColumn("copies", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).drop("copies")
 
 
-#: The same in SQL, at the default weights and seed, for tables of up to BUCKET_ROWS x 64 rows.
+#: The same in SQL, at the default weights and seed.
 SQL = f"""
 WITH sized AS (
   SELECT doc_id, source IS NULL AS nowhere, coalesce(source, '') AS source,
@@ -115,7 +120,7 @@ levels AS (SELECT *, cap / weight AS ratio, (total - coalesce(sum(cap) OVER (ORD
 chosen AS (SELECT level FROM levels WHERE level <= ratio ORDER BY ratio, nowhere, source LIMIT 1),
 aims AS (SELECT nowhere, source, source_size, least(cap, weight * coalesce((SELECT level FROM chosen), 0)) AS target FROM levels),
 stepped AS (SELECT *, floor(log2(size + 1::DOUBLE) * 4)::INT AS raw FROM sized),
-placed AS (SELECT *, row_number() OVER (PARTITION BY nowhere, source ORDER BY CASE WHEN raw % 2 = 0 THEN raw ELSE 1000 - raw END, (coalesce(doc_id, 0) % 64 + 64) % 64, size, doc_id NULLS FIRST) AS pos FROM stepped),
+placed AS (SELECT *, row_number() OVER (PARTITION BY nowhere, source ORDER BY CASE WHEN raw % 2 = 0 THEN raw ELSE 1000 - raw END, CASE WHEN raw % 2 = 0 THEN size ELSE -size END, md5(coalesce(doc_id::VARCHAR, '')), doc_id NULLS FIRST) AS pos FROM stepped),
 rated AS (SELECT p.*, a.source_size, a.target, CASE WHEN a.source_size > 0 THEN a.target / a.source_size ELSE 0 END AS rate
           FROM placed p JOIN aims a USING (nowhere, source)),
 copied AS (SELECT *, (floor(rate * pos + {random.Random(11).random()!r}::DOUBLE) - floor(rate * (pos - 1) + {random.Random(11).random()!r}::DOUBLE))::BIGINT AS copies FROM rated)

@@ -19,7 +19,8 @@ blocks, so a text with very many matches stays near linear.
 Edge cases: a null text is empty and has no spans; overlapping spans of different
 kinds are all reported (redaction joins them); repeated rows and null ids are rows
 like any other; without candidates the classifier keeps base spans alone; an empty
-table gives no rows. All columns of the input pass through.
+table gives no rows. All columns of the input pass through; `detect` replaces one named
+pii, and `redact` changes text and n_chars alone.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import others, pack, quoted
+
 #: Kinds in the order of ties; the first four are the base.
 KINDS = ("email", "ip", "card", "phone", "ssn")
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
@@ -81,8 +84,8 @@ def _running(sizes: Column, block: int = 64) -> Column:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """Adds `cands`: array of (kind, base, start, end, check, gazetteer, cue,
-    against, edge, shape, digits), start and end in code points."""
+    """Adds `cands` to rows (text, ...) of no other name in use here: array of (kind, base, start, end, check, gazetteer, cue,
+    against, edge, shape, digits, before, after, long), start and end in code points."""
     text = F.coalesce("text", F.lit(""))
     df = docs
     for i, p in enumerate(PATTERNS):
@@ -101,7 +104,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     return df.withColumn("cands", F.array_sort(F.concat(*parts))).drop(*(f"_{x}{i}" for x in "me" for i in range(len(PATTERNS))))
 
 
-_TYPE = "array<struct<start:int,kind:int,end:int,base:boolean,check:int,gazetteer:int,cue:int,against:int,edge:int,shape:int,digits:int>>"
+_TYPE = "array<struct<start:int,kind:int,end:int,base:boolean,check:int,gazetteer:int,cue:int,against:int,edge:int,shape:int,digits:int,before:int,after:int,long:int>>"
 
 
 def _vote(yes: Column, no: Column | None = None) -> Column:
@@ -147,10 +150,17 @@ def _candidate(text: Column, p: Pattern, m: Column, end: Column) -> Column:
         int_(start, "start"), F.lit(KINDS.index(p.kind)).alias("kind"), int_(end, "end"), F.lit(p.base).alias("base"),
         int_(_vote(check, ~check), "check"), int_(gazetteer, "gazetteer"), int_(_vote(left.rlike(cue) | F.lower(right).rlike(cue)), "cue"),
         int_(F.when(left.rlike(against), F.lit(-1)).otherwise(F.lit(0)), "against"), int_(edge, "edge"), int_(shape, "shape"),
-        int_(F.least(F.length(digits), F.lit(20)), "digits"),
+        int_(F.least(F.floor(F.length(digits) / 4), F.lit(5)), "digits"), int_(_beside(left, "$"), "before"), int_(_beside(right, "^"), "after"),
+        int_(F.least(F.floor(F.log2(F.length(m) + F.lit(1.0))), F.lit(6)), "long"),
     )
 
 
+def _beside(text: Column, end: str) -> Column:
+    """What a context has beside the span: 0 nothing or a blank, 1 a letter or digit, 2 a mark."""
+    at = lambda chars: rf"[{chars}]$" if end == "$" else rf"^[{chars}]"
+    return F.when((text == "") | text.rlike(at(r"\x20\x09-\x0D")), 0).when(text.rlike(at(r"\p{L}\p{N}")), 1).otherwise(2)
+
+
 @dataclass
 class Model:
     """Weights of the span classifier, and the label model they were learned from."""
@@ -191,24 +201,31 @@ def label_model(patterns: list[tuple[int, tuple[int, ...], int]], rounds: int =
     return posterior, reliability, prior
 
 
-def _features(kind: int, votes: tuple[int, ...], base: bool, digits: int) -> list[str]:
-    out = ["bias", f"kind{kind}", f"base{int(base)}", f"digits{min(digits // 4, 5)}"]
+#: What the classifier sees besides votes, and how many values each has.
+MEASURED = {"kind": len(KINDS), "digits": 6, "before": 3, "after": 3, "long": 7}
+
+
+def _features(measured: tuple[int, ...], votes: tuple[int, ...], base: bool) -> list[str]:
+    """Names of the features that are 1: the votes, what stands beside a span and how long
+    it is, the latter for each kind by itself."""
+    kind = measured[0]
+    out = ["bias", f"base{int(base)}", *(f"{name}{x}" for name, x in zip(MEASURED, measured, strict=True)), *(f"kind{kind}{name}{x}" for name, x in zip(list(MEASURED)[1:], measured[1:], strict=True))]
     return out + [f"{name}{v}" for name, v in zip(VOTES, votes, strict=True) if v]
 
 
 def fit(docs: DataFrame, rounds: int = 200, rate: float = 0.5) -> Model:
     """Learns from the candidates of all documents; only counts reach the driver."""
     spans = candidates(docs.select("text")).select(F.explode("cands").alias("c"))
-    cols = ["kind", *VOTES, "base", "digits"]
+    cols = [*MEASURED, *VOTES, "base"]
     counted = spans.groupBy(*(F.col(f"c.{c}").alias(c) for c in cols)).agg(F.count("*").alias("n")).collect()
-    rows = [(r["kind"], tuple(r[v] for v in VOTES), r["base"], r["digits"], r["n"]) for r in counted]
+    rows = [(tuple(r[c] for c in MEASURED), tuple(r[v] for v in VOTES), r["base"], r["n"]) for r in counted]
     votes: dict[tuple[int, tuple[int, ...]], int] = {}
-    for kind, v, _, _, n in rows:
-        votes[kind, v] = votes.get((kind, v), 0) + n
+    for seen, v, _, n in rows:
+        votes[seen[0], v] = votes.get((seen[0], v), 0) + n
     posterior, reliability, prior = label_model([(k, v, n) for (k, v), n in sorted(votes.items())])
     weights: dict[str, float] = {}
     total = sum(n for *_, n in rows) or 1
-    items = [(_features(k, v, b, d), posterior[k, v], n / total) for k, v, b, d, n in sorted(rows)]
+    items = [(_features(m, v, b), posterior[m[0], v], n / total) for m, v, b, n in sorted(rows)]
     for _ in range(rounds):
         step: dict[str, float] = {}
         for names, y, share in items:
@@ -223,20 +240,29 @@ def fit(docs: DataFrame, rounds: int = 200, rate: float = 0.5) -> Model:
 def _probability(c: Column, model: Model) -> Column:
     w = lambda name: F.lit(float(model.weights.get(name, 0.0)))
     z = w("bias") + F.when(c["base"], w("base1")).otherwise(w("base0"))
-    z = z + F.element_at(F.array(*(w(f"kind{k}") for k in range(len(KINDS)))), c["kind"] + 1)
-    z = z + F.element_at(F.array(*(w(f"digits{k}") for k in range(6))), (F.least(F.floor(c["digits"] / 4), F.lit(5)) + 1).cast("int"))
+    for name, size in MEASURED.items():
+        z = z + F.element_at(F.array(*(w(f"{name}{x}") for x in range(size))), c[name] + 1)
+        if name != "kind":
+            cells = F.array(*(w(f"kind{k}{name}{x}") for k in range(len(KINDS)) for x in range(size)))
+            z = z + F.element_at(cells, c["kind"] * size + c[name] + 1)
     for v in VOTES:
         z = z + F.when(c[v] == 1, w(f"{v}1")).when(c[v] == -1, w(f"{v}-1")).otherwise(F.lit(0.0))
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
+def _found(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
+    """(document, text, pii): the input's columns in one, so that none is in the way."""
+    found = F.transform("cands", lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), c["base"].alias("base"), _probability(c, model).alias("probability"), (c["check"] == 1).alias("ok")))
+    df = candidates(pack(docs, F.col("text").alias("text"))).withColumn("pii", F.filter(found, lambda c: F.when(c["base"], c["ok"]).otherwise(c["probability"] >= threshold)))
+    return df.drop("cands")
+
+
 def detect(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """Adds `pii`: array of (start, kind, end, base, probability, ok), by start, then
     kind. A base candidate is a span if it passes its check, whatever the classifier
     says; a looser one if the classifier says so."""
-    found = F.transform("cands", lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), c["base"].alias("base"), _probability(c, model).alias("probability"), (c["check"] == 1).alias("ok")))
-    df = candidates(docs).withColumn("pii", F.filter(found, lambda c: F.when(c["base"], c["ok"]).otherwise(c["probability"] >= threshold)))
-    return df.drop("cands")
+    kept = docs.select(*others(docs, ["pii"])).columns
+    return _found(docs, model, threshold).select(*(F.col("document." + quoted(c)) for c in kept), "pii")
 
 
 def _is_base(kind: int):
@@ -256,7 +282,7 @@ def digest(docs: DataFrame, model: Model) -> DataFrame:
 def redact(docs: DataFrame, model: Model) -> DataFrame:
     """The documents with each span's text replaced by its kind in brackets;
     overlapping spans become one, named after the first. n_chars follows."""
-    df = detect(docs, model)
+    df = _found(docs, model, 0.5)
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def cut(acc: Column, c: Column) -> Column:
@@ -267,7 +293,12 @@ def redact(docs: DataFrame, model: Model) -> DataFrame:
 
     rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
     clean = F.when(F.size("pii") > 0, F.aggregate("pii", zero, cut, rest)).otherwise(F.col("text"))
-    df = df.withColumn("_clean", clean)
-    if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.when(F.size("pii") > 0, F.length("_clean")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return df.withColumn("text", F.col("_clean")).select(docs.columns)
+    df = df.select("document", "pii", clean.alias("clean"))
+    any_ = F.size("pii") > 0
+    new = {"text": F.col("clean"), "n_chars": F.when(any_, F.length("clean"))}
+    out = []
+    for f in docs.schema.fields:
+        old = F.col("document." + quoted(f.name))
+        made = new.get(f.name.lower())
+        out.append(old if made is None else (F.when(any_, made).otherwise(old).cast(f.dataType)).alias(f.name))
+    return df.select(*out)

@@ -9,7 +9,8 @@ of labelled documents; the logit is then shifted back to the classes' true odds.
 Edge cases: a null or wordless text is one empty passage and gets a score like any
 other; a null doc_id or label trains nothing but is scored; repeated rows are
 scored one by one; without both classes in the sample every score is the share of
-label 1 (0.5 without labels). All columns pass through `score_documents`.
+label 1 (0.5 without labels). All columns pass through `score_documents`; a column named
+score or predicted is replaced.
 """
 
 from __future__ import annotations
@@ -19,12 +20,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import labelled_sample, map_texts
+from .common import SAMPLE_GRAIN, WORD, labelled_sample, map_texts, materialize, others
 
-#: Words in a passage; labelled documents of each class that training takes at most.
-PASSAGE, PER_CLASS = 100, 2500
+#: Words in a passage; labelled documents of each class that training takes at most, about;
+#: passages that these may have together, about.
+PASSAGE, PER_CLASS, PASSAGES = 100, 2500, 100_000
 #: Character classes: blank, newline, small, capital, digit, beyond ASCII, then marks.
 _CLASS = np.zeros(256, np.uint8)
 for _b in range(256):
@@ -33,6 +36,9 @@ for _i, _marks in enumerate((b".,;:", b"!?", b"#*$%&", b"|<>", b"\"'()-", b"=+_/
     for _b in _marks:
         _CLASS[_b] = 6 + _i
 KINDS = 12
+#: What parts words; other control characters are letters of a word.
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
 #: Class bigrams, and what is measured on words.
 WIDTH = KINDS * KINDS + 8
 
@@ -40,8 +46,8 @@ WIDTH = KINDS * KINDS + 8
 def passages(text: bytes | None) -> np.ndarray:
     """Measurements of each passage, (passages, WIDTH) float32."""
     data = text or b""
-    kind = _CLASS[np.frombuffer(data, np.uint8)]
-    ink = kind > 1
+    raw = np.frombuffer(data, np.uint8)
+    kind, ink = _CLASS[raw], ~_BLANK[raw]
     start = np.flatnonzero(ink & ~np.concatenate(([False], ink[:-1]))) if len(kind) else np.zeros(0, np.int64)
     words = data.lower().split()
     n = max(1, -(-len(words) // PASSAGE))
@@ -49,11 +55,7 @@ def passages(text: bytes | None) -> np.ndarray:
     if not words:
         return out
     begin = np.zeros(n, np.int64)
-    # control characters are blanks here but letters of a word there
-    if len(start) == len(words):
-        begin[1:] = start[PASSAGE::PASSAGE][: n - 1]
-    else:
-        begin[1:] = (np.arange(1, n) * len(data)) // n
+    begin[1:] = start[PASSAGE::PASSAGE]
     part = np.searchsorted(begin, np.arange(len(kind)), side="right") - 1
     size = np.diff(np.append(begin, len(data))).clip(1)
     pair = part[1:] * (KINDS * KINDS) + kind[:-1].astype(np.int64) * KINDS + kind[1:]
@@ -136,9 +138,16 @@ class Constant:
         return np.full(len(first), self.share)
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "quality", per_class: int = PER_CLASS) -> Attention | Constant:
-    """A model of `label`, from at most about `per_class` labelled documents a class."""
+def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "quality", per_class: int = PER_CLASS, passages_: int = PASSAGES) -> Attention | Constant:
+    """A model of `label`, from at most about `per_class` labelled documents a class, and
+    fewer if these have more than `passages_` passages."""
     picked, counts = labelled_sample(docs, labels, label, train, per_class)
+    picked = materialize(picked.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label"), "labelled")
+    of = F.ceil(F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)) / PASSAGE)
+    for r in picked.groupBy("label").agg(F.sum(F.greatest(of, F.lit(1))).alias("n")).collect():
+        if r["n"] > passages_:
+            share = int(SAMPLE_GRAIN * passages_ / r["n"])
+            picked = picked.where((F.col("label") != r["label"]) | (F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(SAMPLE_GRAIN)) < share))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -161,7 +170,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "quality
 def score_documents(docs: DataFrame, model: Attention | Constant, threshold: float = 0.7, keep: bool = False) -> DataFrame:
     """Adds score and predicted (1 at `threshold` or above) to all columns; with
     `keep` gives the documents predicted 1 as they came instead."""
-    at = docs.columns.index("text")
+    docs = docs if keep else docs.select(*others(docs, ["score", "predicted"]))
+    at = [c.lower() for c in docs.columns].index("text")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

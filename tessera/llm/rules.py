@@ -7,8 +7,8 @@ and never reads a text again.
 
 Edge cases: a null or blank text has no words (every count 0, fails rule 0); lines
 without a word are no lines; repeated rows and null ids are rows like any other; an
-empty table gives an empty ledger. Other columns pass through `ledger` untouched,
-except that its own column names replace theirs.
+empty table gives an empty ledger. Other columns pass through `measure`, `ledger` and
+`verdicts` untouched; one with the name of a column that they add is replaced.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, others, pack, quoted
 
 #: Rule by bit: name and failure condition, over the measurements, in integers.
 RULES: tuple[tuple[str, str], ...] = (
@@ -32,6 +32,8 @@ RULES: tuple[tuple[str, str], ...] = (
     ("long_lines", "n_lines > 0 AND n_words > 5000 * n_lines"),
 )
 BIT = {name: 1 << i for i, (name, _) in enumerate(RULES)}
+#: Measurements that are added.
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_capitals", "n_digits", "n_exclamations", "n_ellipses"]
 #: Policies: the rules that reject a document.
 POLICIES: dict[str, tuple[str, ...]] = {
     "base-1": ("few_words", "repeated_windows"),
@@ -65,12 +67,14 @@ def measure(docs: DataFrame) -> DataFrame:
     """Adds the measurements to all columns of `docs` (text)."""
     text = F.coalesce("text", F.lit(""))
     count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("long")
+    kept = docs.select(*others(docs, MEASURES)).columns
+    docs = pack(docs, F.col("text").alias("text"))
     df = docs.withColumn("_words", F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
     df = df.withColumn("_lines", F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     n = F.greatest(F.size("_words") - 2, F.lit(0))
     pairs = F.zip_with(F.slice("_words", 1, n), F.slice("_words", 2, n), lambda a, b: F.xxhash64(a, b))
     df = df.withColumn("_windows", F.zip_with(pairs, F.slice("_words", 3, n), lambda h, c: F.xxhash64(h, c)))
-    return df.withColumns({
+    df = df.withColumns({
         "n_words": F.size("_words").cast("long"),
         "word_chars": F.aggregate("_words", F.lit(0).cast("long"), lambda a, w: a + F.length(w)),
         "n_symbols": count(r"[#*$%&|<>]"),
@@ -78,7 +82,8 @@ def measure(docs: DataFrame) -> DataFrame:
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_repeat_words": F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), _repeat_words(F.col("_windows"))).otherwise(F.lit(0)).cast("long"),
         "n_capitals": count(r"[A-Z]"), "n_digits": count(r"[0-9]"), "n_exclamations": count(r"!"), "n_ellipses": count(r"\.\.\.[\x20\x09\x0D]*(?:\n|$)"),
-    }).drop("_words", "_lines", "_windows")
+    })
+    return df.select(*(F.col("document." + quoted(c)) for c in kept), *MEASURES)
 
 
 def ledger(docs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from tessera.llm import decontam, mixing, pii, simhash
+from tessera.llm import decontam, mixing, pii, pipeline, simhash
 
 from test_text_operators import bare, corpus, folder, spans  # noqa: F401
 
@@ -44,7 +44,7 @@ def test_run_returns_documents(spark, bare, folder, monkeypatch):  # noqa: F811
     """Each document comes as often as the mix takes it, with all its columns."""
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     assert corpus_pipeline.run(spark, bare).columns == docs.columns
-    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[-1:])
+    monkeypatch.setattr(pipeline, "STAGES", corpus_pipeline.STAGES[-1:])
     got = Counter((r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in corpus_pipeline.run(spark, folder).collect())
     copies = Counter()
     for r in mixing.mix(docs).collect():

@@ -63,6 +63,8 @@ def corpus():
 
 ITEMS = [(1, "Zero one two three four five six seven eight nine ten eleven"), (2, "short item"), (3, None), (4, " .. "), (1, "short item"), (7, "never seen anywhere in this corpus at all by any chance"), (None, "short item")]
 TURNS = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, 0, "user", "hi"), (2, 1, "assistant", "yo"), (2, 2, "user", "more"), (3, 0, "user", "hi"), (4, 0, "user", "hi"), (4, 1, "assistant", "yo"), (4, 2, "user", "more"), (5, 0, "user", None), (6, 0, "user", ""), (6, 1, None, "x"), (7, None, "user", "t"), (7, 0, "user", "a"), (7, 0, "user", "a"), (8, 0, "user", "a"), (None, 0, "user", "z"), (9, 0, "user", "yo"), (9, 1, "assistant", "hi")]
+# rows repeated under a turn: 21 is no prefix of 22 (its turn 1 is another), 23 is one of 24
+TURNS += [(21, 0, "user", "p"), (21, 1, "bot", "q"), (22, 0, "user", "p"), (22, 1, "bot", "q"), (22, 1, "bot", "q"), (23, 0, "z", "p"), (23, 1, "bot", "q"), (24, 0, "z", "p"), (24, 1, "bot", "q"), (24, 2, "bot", "q"), (24, 2, "bot", "a")]
 
 
 @pytest.fixture(scope="module")
@@ -159,6 +161,29 @@ def test_pii_adds_and_redacts(spark, folder):
     assert "user@mail" not in text and "[EMAIL]" in text and "[PHONE]" in text and "😀 mañana" in text
 
 
+CLASHES = ["document", "cands", "pii", "_m0", "_e0", "m", "k1", "k2", "rid", "Score", "predicted", "N_WORDS", "failed", "kept", "_words", "_lines", "_windows", "size", "copies", "target", "row", "fp", "clean", "word_chars"]
+
+
+@pytest.mark.parametrize("name,call,replaced", [
+    ("detect", lambda d: pii.detect(d, pii.fit(d)), {"pii"}),
+    ("redact", lambda d: pii.redact(d, pii.fit(d)), set()),
+    ("ledger", rules.verdicts, {"N_WORDS", "failed", "kept", "word_chars"}),
+    ("quality", lambda d: quality.score_documents(d, quality.Constant(0.6)), {"Score", "predicted"}),
+    ("quality kept", lambda d: quality.score_documents(d, quality.Constant(0.9), keep=True), set()),
+    ("mark", mixing.mark, {"copies"}),
+    ("near", simhash.drop_near_duplicates, set()),
+])
+def test_clashing_names(spark, name, call, replaced):
+    """An added column replaces the input's of its name; any other comes through."""
+    rows = [(1, "call +49 30 123456789 now " + "word " * 60, "s", 7), (2, None, None, None), (3, "", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").withColumns({c: F.lit(f"own {c}") for c in CLASHES})
+    out = call(docs)
+    assert len({c.lower() for c in out.columns}) == len(out.columns)
+    assert {c for c in docs.columns if c not in replaced} <= set(out.columns) and not {c for c in replaced if c in out.columns and c != c.lower()}
+    got = out.collect()
+    assert got and all(r[c] == f"own {c}" for r in got for c in CLASHES if c not in replaced)
+
+
 def test_pii_many_matches(spark):
     text = " ".join(f"u{i}@h{i}.org" for i in range(3000))
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
@@ -331,9 +356,18 @@ def test_mix_caps_targets(spark):
     assert t == pytest.approx({"a": 540, "b": 30, "c": 60})
 
 
+def test_mix_order_is_not_the_split(spark, folder, monkeypatch):
+    """Other buckets, other partitions: the same copies. Ids with a common factor are dealt as well."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("doc_id", F.col("doc_id") * 64)
+    show = lambda d: sorted(map(repr, mixing.mix(d).collect()))
+    want = show(docs)
+    monkeypatch.setattr(mixing, "DIGITS", 1)
+    assert show(docs.repartition(7)) == want
+
+
 def test_chat(got):
     rows = by_id(got("op7_chat_format"), "conv_id")
-    assert sorted(rows) == [2, 5, 6, 7, 8, 9]
+    assert sorted(rows) == [2, 5, 6, 7, 8, 9, 21, 22, 24]
     assert rows[2]["n_copies"] == 2
     assert rows[6]["rendered"] == "<|im_start|>user\n<|im_end|>\n<|im_start|>unknown\nx<|im_end|>\n"
 
@@ -354,6 +388,48 @@ def test_quality(got):
             assert 0 <= rows[i]["score"] <= 1 and rows[i]["predicted"] == int(rows[i]["score"] >= 0.7)
 
 
+def brute_passages(t):
+    """Measurements of each passage, letter by letter."""
+    data = (t or "").encode()
+    spans = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+    cuts = [0, *(spans[i][0] for i in range(quality.PASSAGE, len(spans), quality.PASSAGE)), len(data)]
+    out = []
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        own = [data[x:y].lower() for x, y in spans[k * quality.PASSAGE : (k + 1) * quality.PASSAGE]]
+        row = [0.0] * quality.WIDTH
+        if own:
+            for i in range(max(a, 1), b):
+                row[int(quality._CLASS[data[i - 1]]) * quality.KINDS + int(quality._CLASS[data[i]])] += 1
+            row = [math.sqrt(x / max(1, b - a)) for x in row]
+            m, n = len(own), -(-len(spans) // quality.PASSAGE)
+            three = list(zip(own, own[1:], own[2:], strict=False))
+            row[-8:] = [len(set(own)) / m, sum(x == y for x, y in zip(own, own[1:], strict=False)) / m, (len(three) - len(set(three))) / m, sum(len(w) > 15 for w in own) / m, min(1.0, (b - a) / m / 20), m / quality.PASSAGE, min(1.0, n / 50), 1.0]
+        out.append(row)
+    return np.array(out)
+
+
+@pytest.mark.parametrize("text", ["", None, " \n", "one", "ab\x01 c\x1c d " * 90, "".join(f"w{i}{'!' * (i % 3)} " for i in range(205)), "é" * 30 + "\u00a0x\x85 y" * 150, "A a a a\n" * 80])
+def test_passages_by_brute_force(text):
+    want = brute_passages(text)
+    got = quality.passages(None if text is None else text.encode())
+    assert got.shape == want.shape and np.allclose(got, want, atol=1e-5)
+
+
+def test_scores_by_brute_force(spark):
+    """Gated attention and the weighted passage, bag by bag."""
+    rng = np.random.default_rng(2)
+    m = quality.Attention(quality.WIDTH, seed=1)
+    m.mean, m.scale, m.shift = rng.normal(size=quality.WIDTH), rng.uniform(1, 2, quality.WIDTH), 0.3
+    texts = ["a b c " * 100, "", None, "x! " * 350]
+    p = m.p
+    for r in quality.score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), m).collect():
+        h = [np.tanh(((x - m.mean) / m.scale) @ p["W"] + p["b"]) for x in quality.passages((texts[r.doc_id] or "").encode())]
+        a = [math.exp(float((np.tanh(v @ p["V"]) / (1 + np.exp(-(v @ p["U"])))) @ p["w"])) for v in h]
+        z = float(sum(x / sum(a) * v for x, v in zip(a, h, strict=True)) @ p["c"] + p["d"][0]) + m.shift
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-6)
+        assert r.predicted == int(r.score >= 0.7)
+
+
 def test_attention_gradient():
     rng = np.random.default_rng(0)
     bags = [rng.normal(size=(rng.integers(1, 9), 6)) for _ in range(300)]
