@@ -38,6 +38,8 @@ from .common import map_texts, materialize
 #: of the other words by ending, where these start; classes (a byte holds one, two bytes
 #: a pair); most entries of a worker's buffers.
 FREQUENT, CLUSTERED, ENDINGS, CLASSES, BUFFER = 100_000, 1000, 96, 64, 250_000
+#: Tokens up to which a word's gains come from tables.
+SMALL = 32
 #: The end token: no word has a blank.
 END = b" "
 
@@ -193,68 +195,157 @@ def gains(table: np.ndarray, out: np.ndarray, into: np.ndarray, home: np.ndarray
     return gain
 
 
+class Steps:
+    """The gains of words that occur a few times, from tables made once: the counts of such a
+    word beside a class change one cell of the bigram table by a small whole number."""
+
+    def __init__(self, table: np.ndarray):
+        f = lambda x: x * np.log(np.maximum(x, 1.0))
+        n = np.arange(SMALL + 1)[:, None, None]
+        self.table = table
+        # by direction, count and the other class: the step of joining each class, and of staying at home
+        sides = (table.T, table)
+        self.join = [f(t[None] + n) - f(t[None]) for t in sides]
+        self.stay = [f(t[None]) - f(np.maximum(t[None] - n, 0.0)) for t in sides]
+        totals = (table.sum(axis=1), table.sum(axis=0))
+        m = np.arange(SMALL + 1)[:, None]
+        self.sum_join = [f(x[None] + m) - f(x[None]) for x in totals]
+        self.sum_stay = [f(x[None]) - f(np.maximum(x[None] - m, 0.0)) for x in totals]
+        self.f = f
+
+    def __call__(self, out: np.ndarray, into: np.ndarray, home: np.ndarray) -> np.ndarray:
+        """As `gains`."""
+        sums = out.sum(axis=1)
+        few = sums <= SMALL
+        gain = np.empty(out.shape)
+        if not few.all():
+            gain[~few] = gains(self.table, out[~few], into[~few], home[~few])
+        if few.any():
+            gain[few] = self.of_few(out[few], into[few], home[few], sums[few].astype(np.int64))
+        return gain
+
+    def of_few(self, out: np.ndarray, into: np.ndarray, home: np.ndarray, n: np.ndarray) -> np.ndarray:
+        rows, g, f = np.arange(len(out)), np.zeros(out.shape), self.f
+        for side, t, (own, other) in zip(range(2), (self.table.T, self.table), ((out, into), (into, out)), strict=True):
+            join, stay = self.join[side], self.stay[side]
+            w, l = np.nonzero(own)  # noqa: E741
+            c, k = own[w, l].astype(np.int64), home[w]
+            for x in (1, 2):  # one product for all words that a class is beside once, or twice
+                g += (own == x).astype(float) @ join[x]
+            more = np.flatnonzero(c > 2)
+            if len(more):
+                first = np.flatnonzero(np.append(True, w[more][1:] != w[more][:-1]))
+                g[w[more][first]] += np.add.reduceat(join[c[more], l[more]], first, axis=0)
+            g[rows, home] += np.bincount(w, stay[c, l, k] - join[c, l, k], len(out))
+            # beside its own home, a word's other side is in the row too
+            at = np.flatnonzero(l == k)
+            if len(at):
+                v, h, x = w[at], k[at], own[w[at], k[at]][:, None]
+                base = t[h].copy()
+                base[np.arange(len(at)), h] -= x[:, 0]
+                base -= other[v]
+                was = join[c[at], h]
+                was[np.arange(len(at)), h] = stay[c[at], h, h]
+                g[v] += f(base + x) - f(base) - was
+        for side in range(2):
+            step = self.sum_join[side][n]
+            step[rows, home] = self.sum_stay[side][n, home]
+            g -= step
+        # a class on both sides of the word: its own cell changes by both
+        w, l = np.nonzero((out > 0) & (into > 0))  # noqa: E741
+        x, y = out[w, l], into[w, l]
+        d = self.table[l, l] - np.where(l == home[w], x + y, 0)
+        g[w, l] += f(d + x + y) - f(d + x) - f(d + y) + f(d)
+        return g
+
+
 def place_tail(docs: DataFrame, model: Model, home: np.ndarray, table: np.ndarray) -> DataFrame:
     """(word, c, k) of every training word that is no unit by itself: from the class of its
     ending it moves to the class of greatest gain, by the classes before and after each of
-    its tokens. All move at once, against the table of the units' classes."""
+    its tokens. All move at once, against the table of the units' classes. A word's pairs of
+    classes are counted where there are many, so a frequent one is no long row."""
     k = len(table)
     of, endings, end = home[model.unit_of], home[model.clustered : model.end], int(home[model.end])
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = model.ranks()
-        seen: defaultdict = defaultdict(bytearray)
+        often: list[np.ndarray] = []  # of frequent words: rank and pair in one number
+        seldom: defaultdict = defaultdict(bytearray)
         held = 0
 
         def out() -> pa.RecordBatch:
-            b = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array([bytes(x) for x in seen.values()], pa.binary())], ["word", "pairs"])
-            seen.clear()
-            return b
+            words, pairs, counts = list(seldom), list(map(bytes, seldom.values())), []
+            code = np.concatenate(often) if often else np.zeros(0, np.int64)
+            if len(code):
+                code.sort()
+                at, pair = code // (k * k), (code % (k * k)).astype(np.uint16)
+                first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+                words += [model.words[i] for i in at[first].tolist()]
+                pairs += [pair[x:y].tobytes() for x, y in zip(first.tolist(), [*first[1:].tolist(), len(pair)], strict=True)]
+            for i, x in enumerate(pairs):
+                if len(x) > 4 * k * k:
+                    found, n = np.unique(np.frombuffer(x, np.uint16), return_counts=True)
+                    pairs[i] = found.tobytes()
+                    counts.append(n.astype(np.int64).tobytes())
+                else:
+                    counts.append(None)
+            seldom.clear()
+            often.clear()
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(pairs, pa.binary()), pa.array(counts, pa.binary())], ["word", "pairs", "n"])
 
         for batch in batches:
             for t in batch.column(0).cast(pa.binary()).to_pylist():
                 words = tokens(t)
                 at, ids = model.look(words, rank, of, endings, end)
-                tail = np.flatnonzero((at < 0) | (at >= model.clustered))
-                pairs = (ids[tail] * k + ids[tail + 2]).astype(np.uint16).tobytes()
-                for j, i in enumerate(tail.tolist()):
-                    seen[words[i]] += pairs[2 * j : 2 * j + 2]
-                held += len(tail)
-                if len(seen) > BUFFER or held > 16 * BUFFER:
+                pair = ids[:-2] * k + ids[2:]
+                known = at >= model.clustered
+                often.append(at[known] * (k * k) + pair[known])
+                for i in np.flatnonzero(at < 0).tolist():
+                    seldom[words[i]] += pair[i].astype(np.uint16).tobytes()
+                held += len(words)
+                if len(seldom) > BUFFER or held > 16 * BUFFER:
                     yield out()
                     held = 0
         yield out()
 
-    def settle(words: list[bytes], pairs: list[bytes]) -> pa.RecordBatch:
-        row = np.cumsum([0] + [x != y for x, y in zip(words[1:], words[:-1], strict=True)])
-        at = np.repeat(row, [len(p) // 2 for p in pairs])
-        pair = np.frombuffer(b"".join(pairs), np.uint16).astype(np.int64)
-        n = int(row[-1]) + 1
-        into = np.bincount(at * k + pair // k, minlength=n * k).reshape(n, k).astype(float)
-        out = np.bincount(at * k + pair % k, minlength=n * k).reshape(n, k).astype(float)
-        names = [words[i] for i in np.flatnonzero(np.append(True, row[1:] != row[:-1])).tolist()]
+    def settle(steps: Steps, names: list[bytes], at: np.ndarray, pair: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        size = len(names)
+        into = np.bincount(at * k + pair // k, n, size * k).reshape(size, k)
+        out = np.bincount(at * k + pair % k, n, size * k).reshape(size, k)
         old = endings[[ending(w) for w in names]]
-        gain = gains(table, out, into, old)
+        gain = steps(out, into, old)
         best = gain.argmax(axis=1)
-        rows = np.arange(n)
+        rows = np.arange(size)
         best = np.where(gain[rows, best] <= gain[rows, old] + 1e-9, old, best)
         return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(out.sum(axis=1).astype(np.int64)), pa.array(best.astype(np.int32))], ["word", "c", "k"])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: list[bytes] = []
-        pairs: list[bytes] = []
+        steps = Steps(table)
+        last, kept, often = None, np.zeros(0, np.int64), np.zeros(0)  # the word that may go on, and its pairs
         for batch in batches:
-            words += batch.column(0).to_pylist()
-            pairs += batch.column(1).to_pylist()
-            whole = len(words)  # the last word may go on in the next batch
-            while whole and words[whole - 1] == words[-1]:
-                whole -= 1
-            if whole:
-                yield settle(words[:whole], pairs[:whole])
-                words, pairs = words[whole:], pairs[whole:]
-        if words:
-            yield settle(words, pairs)
-
-    found = docs.select("text").transform(map_texts, contexts, "word binary, pairs binary")
+            words, raw = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            if not words:
+                continue
+            counts = batch.column(2).to_pylist()
+            n = np.concatenate([np.frombuffer(c, np.int64) if c is not None else np.ones(len(p) // 2, np.int64) for p, c in zip(raw, counts, strict=True)]).astype(float) if any(c is not None for c in counts) else None
+            pair = np.frombuffer(b"".join(raw), np.uint16).astype(np.int64)
+            n = np.ones(len(pair)) if n is None else n
+            if last is not None:
+                words, raw = [last, *words], [b"  " * len(kept), *raw]
+                pair, n = np.append(kept, pair), np.append(often, n)
+            row = np.cumsum([0] + [x != y for x, y in zip(words[1:], words[:-1], strict=True)])
+            at = np.repeat(row, [len(p) // 2 for p in raw])
+            names = [words[i] for i in np.flatnonzero(np.append(True, row[1:] != row[:-1])).tolist()]
+            cut = int(np.searchsorted(at, len(names) - 1))
+            if len(names) > 1:
+                yield settle(steps, names[:-1], at[:cut], pair[:cut], n[:cut])
+            last = names[-1]
+            kept, back = np.unique(pair[cut:], return_inverse=True)
+            often = np.bincount(back, n[cut:], len(kept))
+        if last is not None:
+            yield settle(steps, [last], np.zeros(len(kept), np.int64), kept, often)
+
+    found = docs.select("text").transform(map_texts, contexts, "word binary, pairs binary, n binary")
     return found.repartition("word").sortWithinPartitions("word").mapInArrow(assign, "word binary, c long, k int")
 
 

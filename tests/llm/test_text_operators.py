@@ -512,6 +512,19 @@ def test_gains_by_brute_force():
         assert np.allclose(np.array(want) - want[0], got[w] - got[w, 0])
 
 
+def test_gains_from_tables():
+    """The same for words of few tokens as for any, up to the gain of staying at home."""
+    rng = np.random.default_rng(5)
+    k, n = 7, 400
+    table = rng.integers(30, 90, (k, k)).astype(float)
+    out, into, home = np.zeros((n, k)), np.zeros((n, k)), rng.integers(0, k, n)
+    for w in range(n):
+        for _ in range(rng.integers(1, 12)):
+            out[w, rng.integers(k)] += 1
+            into[w, rng.integers(k)] += 1
+    assert np.allclose(brown.gains(table, out, into, home), brown.Steps(table)(out, into, home))
+
+
 def test_exchange_finds_classes():
     rng = np.random.default_rng(0)
     truth = np.arange(24) % 3
