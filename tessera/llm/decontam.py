@@ -46,8 +46,6 @@ BITS, BUCKET = 1 << 26, 32_768
 BUFFER, HOT = 100_000, 100_000
 #: Bytes that are no word character become blanks, capitals become small.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-#: A word of a text that is not lowered yet.
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 ADDED = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
 
@@ -227,7 +225,10 @@ def flag(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 3,
             return docs
         gone = materialize(found[0].select(*key).distinct(), "hit-texts")
         return rows.join(maybe_broadcast(gone, gone.count()), key, "left_anti").select("document.*")
-    n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(_WORD)).cast("long")
+    @F.arrow_udf("long")
+    def n_words(texts: pa.Array) -> pa.Array:
+        return pa.array([len(words(t)) for t in texts.cast(pa.binary()).to_pylist()], pa.int64())
+
     if found is None:
         by = docs.sparkSession.createDataFrame([], "k1 long, k2 long, n_hit long, items array<string>")
     else:
@@ -242,7 +243,7 @@ def flag(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 3,
     items_ = F.coalesce("items", F.array().cast("array<string>"))
     taken = [F.col("document." + quoted(c)) for c in _names(docs)]
     return rows.join(maybe_broadcast(by, by.count()), key, "left").select(
-        *taken, n_words.alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items_).cast("long").alias("n_items"),
+        *taken, n_words("text").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items_).cast("long").alias("n_items"),
         F.sha2(F.array_join(items_, ","), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"),
     )
 
