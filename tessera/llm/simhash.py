@@ -208,8 +208,12 @@ class _Forest:
 
     def edges(self, rep: np.ndarray) -> pa.RecordBatch:
         self.fold()
-        linked = np.flatnonzero(self.root != self.own)
-        return pa.RecordBatch.from_arrays([pa.array(rep[linked]), pa.array(rep[self.root[linked]])], ["src", "dst"])
+        # a component's centre is its least node, so that other orders of the bits give the same links again
+        least = np.full(len(rep), np.iinfo(np.int64).max)
+        np.minimum.at(least, self.root, rep)
+        centre = least[self.root]
+        linked = np.flatnonzero(centre != rep)
+        return pa.RecordBatch.from_arrays([pa.array(rep[linked]), pa.array(centre[linked])], ["src", "dst"])
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
