@@ -31,7 +31,8 @@ def _some(**named) -> None:
             raise ValueError(f"{name} must not be empty")
 
 
-def _samples(reads: DataFrame, suffix: str = ".bam") -> DataFrame:
+def with_samples(reads: DataFrame, suffix: str = ".bam") -> DataFrame:
+    """Adds `sample`, by the name of the file."""
     return reads.withColumn("sample", files.stem(F.col("file"), suffix))
 
 
@@ -56,9 +57,10 @@ def coverage(spark: SparkSession, bams: list[str], output: str, index: DataFrame
     ranges = bam.checked_index(index if index is not None else index_bam(spark, bams))
     sequences = _sequences(ranges)
     floor = intervals.mapq_for(sequences.count()) if mapq is None else mapq
-    reads = _samples(bam.read_bam(ranges, min_length))
-    found = intervals.coverage(reads, sequences, floor, 0.0 if long else identity, trim, min_length)
-    sinks.write_coverage(found, output, sorted(r["sample"] for r in _samples(ranges.select("file").distinct()).collect()))
+    reads = with_samples(bam.read_bam(ranges, min_length, columns=bam.PLACED))
+    samples = with_samples(ranges.select("file").distinct()).select("sample").distinct()
+    found = intervals.coverage(reads, sequences, floor, 0.0 if long else identity, trim, min_length, samples)
+    sinks.write_coverage(found, output, sorted(r["sample"] for r in samples.collect()))
     return found
 
 
@@ -185,17 +187,17 @@ def abundance(spark: SparkSession, bams: list[str], annotation: str, output: str
     _share(identity=identity)
     whole = index if index is not None else index_bam(spark, bams)
     ranges = bam.checked_index(whole)
-    placed = bam.read_bam(ranges)
+    placed = bam.read_bam(ranges, columns=bam.PLACED)
     ann = tables.read_annotation(spark, annotation)
-    reads = _samples(placed).unionByName(_samples(_unplaced(whole)))
+    reads = with_samples(placed).unionByName(with_samples(_unplaced(whole)))
     found = ab.abundance(reads, _sequences(ranges), ann, mapq, 0.0 if long else identity, trim, min_depth)
-    sinks.write_abundance(found, output, sorted(r["sample"] for r in _samples(ranges.select("file").distinct()).collect()))
+    sinks.write_abundance(found, output, sorted(r["sample"] for r in with_samples(ranges.select("file").distinct()).collect()))
     return found
 
 
 def _unplaced(index: DataFrame) -> DataFrame:
     """Reads on no reference."""
-    return bam.read_bam(index.where("ref_id = -1").withColumn("ref_id", F.lit(0))).withColumn("name", F.lit(None).cast("string"))
+    return bam.read_bam(index.where("ref_id = -1").withColumn("ref_id", F.lit(0)), columns=bam.PLACED).withColumn("name", F.lit(None).cast("string"))
 
 
 def abundance_test(spark: SparkSession, abundances: str, groups: str, output: str, ranks: tuple[str, ...] = ("s",), prevalence: float = 0.5, method: str = "bonferroni", pair: tuple[str, str] | None = None) -> DataFrame:
@@ -212,8 +214,8 @@ def variant(spark: SparkSession, bams: list[str], annotation: str, output: str,
     """Variable sites with each sample's allele frequencies."""
     _share(identity=identity, coverage=coverage)
     ranges = bam.checked_index(index if index is not None else index_bam(spark, bams))
-    names = sorted(r["sample"] for r in _samples(ranges.select("file").distinct()).collect())
-    found = pileup.variants(_samples(bam.read_bam(ranges)), tables.read_annotation(spark, annotation), len(names), mapq, identity, depth, coverage)
+    names = sorted(r["sample"] for r in with_samples(ranges.select("file").distinct()).collect())
+    found = pileup.variants(with_samples(bam.read_bam(ranges)), tables.read_annotation(spark, annotation), len(names), mapq, identity, depth, coverage)
     sinks.write_variants(found, output, names)
     return found
 

@@ -65,13 +65,13 @@ def bonferroni(p: Column, tests: Column) -> Column:
 
 
 def benjamini_hochberg(df: DataFrame, p: str, by: list[str]) -> DataFrame:
-    """Adds q, the step-up values of the rows with a p value, within `by`; for tables
-    of results, whose rows are tests."""
+    """Adds q, the step-up values of the rows with a p value, within `by`; equal p values
+    get equal q. For tables of results, whose rows are tests."""
     w = Window.partitionBy(*by)
     rank = F.row_number().over(w.orderBy(F.col(p).asc_nulls_last()))
     m = F.count(p).over(w)
     df = df.withColumn("_raw", F.when(F.col(p).isNotNull(), F.col(p) * m / rank))
-    return df.withColumn("q", F.least(F.lit(1.0), F.min("_raw").over(w.orderBy(F.col(p).desc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)))).drop("_raw")
+    return df.withColumn("q", F.least(F.lit(1.0), F.min("_raw").over(w.orderBy(F.col(p).desc_nulls_first())))).drop("_raw")
 
 
 def standardise(df: DataFrame, by: list[str], value: str, eps: float = 10 * 2.0**-23) -> DataFrame:
@@ -95,17 +95,8 @@ def group_test(values: DataFrame, groups: DataFrame, floor: float, prevalence: f
     the floor is null, its flag `?`, its p and q 1."""
     if method not in ("bonferroni", "benjamini-hochberg", "none"):
         raise ValueError(method)
-    names = groups.select("grp").distinct()
-    pairs = names.select(F.col("grp").alias("group1")).join(names.select(F.col("grp").alias("group2")), F.col("group1") < F.col("group2"))
-    if pair:
-        pairs = pairs.where(F.col("group1").isin(*pair) & F.col("group2").isin(*pair))
-    rows = values.join(groups, "sample").join(F.broadcast(pairs), (F.col("grp") == F.col("group1")) | (F.col("grp") == F.col("group2")))
-    first, by = F.col("grp") == F.col("group1"), ["group1", "group2", "node"]
-    above = F.col("value") > floor
-    seen = rows.groupBy(*by).agg(
-        F.median(F.when(first, F.col("value"))).alias("m1"), F.median(F.when(~first, F.col("value"))).alias("m2"),
-        F.count_if(first & above).alias("c1"), F.count_if(~first & above).alias("c2"), F.count_if(first).alias("k1"), F.count_if(~first).alias("k2"),
-    ).withColumn("tested", (F.col("c1") >= prevalence * F.col("k1")) & (F.col("c2") >= prevalence * F.col("k2")))
+    rows, first, by = paired(values, groups, pair)
+    seen = prevalent(rows, first, by, floor, prevalence)
     sums = rank_sums(rows, by, "value", first)
     df = seen.join(sums, by).withColumn("raw", F.when(F.col("tested"), mann_whitney("u1", "n1", "n2", "ties")))
     scope = ["group1", "group2"]
@@ -119,3 +110,31 @@ def group_test(values: DataFrame, groups: DataFrame, floor: float, prevalence: f
     flag = F.when(bare, "?").when(F.col("m1") > F.col("m2"), ">").when(F.col("m1") == F.col("m2"), "=").otherwise("<")
     shown = lambda c: F.when(bare, 1.0).otherwise(F.coalesce(F.col(c), F.lit(1.0)))
     return df.select("node", *scope, F.when(~bare1, F.col("m1")).alias("median1"), flag.alias("flag"), F.when(~bare2, F.col("m2")).alias("median2"), shown("raw").alias("p"), shown("q").alias("q"))
+
+
+def group_pairs(groups: DataFrame, pair: tuple[str, str] | None = None) -> DataFrame:
+    """(group1, group2): all pairs of groups by name, or those within `pair`."""
+    names = groups.select("grp").distinct()
+    pairs = names.select(F.col("grp").alias("group1")).join(names.select(F.col("grp").alias("group2")), F.col("group1") < F.col("group2"))
+    return pairs.where(F.col("group1").isin(*pair) & F.col("group2").isin(*pair)) if pair else pairs
+
+
+def paired(values: DataFrame, groups: DataFrame, pair: tuple[str, str] | None = None) -> tuple[DataFrame, Column, list[str]]:
+    """The values' rows under each pair that their group is in; whether it is the first; the
+    columns of a test. A group goes to its pairs by name, in two joins of equality, so that
+    nothing is matched with all pairs."""
+    rows = values.join(groups, "sample")
+    pairs = group_pairs(groups, pair)
+    both = pairs.select(F.col("group1").alias("grp"), "group1", "group2").unionByName(pairs.select(F.col("group2").alias("grp"), "group1", "group2"))
+    return rows.join(both, "grp"), F.col("grp") == F.col("group1"), ["group1", "group2", "node"]
+
+
+def prevalent(rows: DataFrame, first: Column, by: list[str], floor: float, prevalence: float) -> DataFrame:
+    """(by, m1, m2, counts, tested): medians, and whether in both groups at least
+    `prevalence` of the samples are above `floor`."""
+    above = F.col("value") > floor
+    return rows.groupBy(*by).agg(
+        F.median(F.when(first, F.col("value"))).alias("m1"), F.median(F.when(~first, F.col("value"))).alias("m2"),
+        F.count_if(first & above).alias("c1"), F.count_if(~first & above).alias("c2"), F.count_if(first).alias("k1"), F.count_if(~first).alias("k2"),
+    ).withColumn("tested", (F.col("c1") >= prevalence * F.col("k1")) & (F.col("c2") >= prevalence * F.col("k2")))
+

@@ -108,12 +108,13 @@ def depth_stats(intervals: DataFrame, by: list[str], length: str, trim: int = 0)
     return sums.where(size > 1).select(*by, length, (F.col("s1") / size).alias("mean"), ((F.col("s2") - F.col("s1") * F.col("s1") / size) / (size - 1)).alias("variance"))
 
 
-def coverage(reads: DataFrame, sequences: DataFrame, min_mapq: int = 0, identity: float = 0.9, trim: int = 0, min_length: int = 100) -> DataFrame:
+def coverage(reads: DataFrame, sequences: DataFrame, min_mapq: int = 0, identity: float = 0.9, trim: int = 0, min_length: int = 100, samples: DataFrame | None = None) -> DataFrame:
     """(seq_id, sample, mean, variance) for every sequence of at least `min_length`
     and sample. reads: (sample, name, pos, mapq, flag, cigar, nm); sequences: (name,
-    length)."""
+    length); samples: (sample), those of the reads if not given, which reads them twice
+    and knows no sample without reads."""
     wanted = sequences.where(F.col("length") >= min_length)
     hits = accepted(reads, min_mapq, identity).select("sample", "name", F.inline("blocks")).join(wanted, "name")
     found = depth_stats(hits, ["name", "sample"], "length", trim).drop("length")
-    every = wanted.select("name").crossJoin(F.broadcast(reads.select("sample").distinct()))
+    every = wanted.select("name").crossJoin(F.broadcast(reads.select("sample").distinct() if samples is None else samples))
     return every.join(found, ["name", "sample"], "left").select(F.col("name").alias("seq_id"), "sample", F.coalesce("mean", F.lit(0.0)).alias("mean"), F.coalesce("variance", F.lit(0.0)).alias("variance"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .binning import strict_join
 from .intervals import accepted
 
 EPS = 10 * 2.0**-23
@@ -60,7 +61,8 @@ def sites(counts: DataFrame, site: list[str], samples: int, depth: float = 1, co
 def variants(reads: DataFrame, annotation: DataFrame, samples: int, min_mapq: int = 0, identity: float = 0.9, depth: float = 1, coverage: float = 0.5) -> DataFrame:
     """(classification, chrom, pos, population, calls), pos from 1."""
     found = sites(pileup(bases(reads, min_mapq, identity), ["name", "pos"]), ["name", "pos"], samples, depth, coverage)
-    named = found.withColumn("cluster_id", F.split("name", r"\.")[0]).join(annotation, "cluster_id")
+    # a reference whose cluster the annotation lacks fails
+    named = strict_join(found.withColumn("cluster_id", F.split("name", r"\.")[0]), annotation, "cluster_id", "no annotation")
     return named.select("classification", F.col("name").alias("chrom"), (F.col("pos") + 1).alias("pos"), "population", "calls")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import assoc
 from .base import Plans, table
+from .taxa import _ERF
 
 PLANS = Plans()
 
@@ -33,6 +34,19 @@ def glm_gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fitted.select("l_partkey", "n", F.round("beta", 3).alias("beta"), F.round("se", 3).alias("se"))
 
 
+@PLANS.add(f"""WITH {_CALLS}, r AS (SELECT v, f AS x, y AS z, (sample * 7 % 11)::DOUBLE AS y FROM calls), c AS (SELECT v, x - avg(x) OVER w AS x, z - avg(z) OVER w AS z, y - avg(y) OVER w AS y, count(*) OVER w AS n FROM r WINDOW w AS (PARTITION BY v)),
+s AS (SELECT v, max(n) AS n, sum(x * x) AS xx, sum(x * z) AS xz, sum(z * z) AS zz, sum(x * y) AS xy, sum(z * y) AS zy, sum(y * y) AS yy FROM c GROUP BY 1 HAVING max(n) >= 0.4::DOUBLE * 25),
+b AS (SELECT v, n, xx * zz - xz * xz AS d, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS bx, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS bz, xy, zy, yy, zz FROM s),
+t AS (SELECT v, bx AS beta, sqrt((yy - bx * xy - bz * zy) / (n - 3) * zz / d) AS se FROM b), p AS (SELECT *, abs(beta / se) / sqrt(2::DOUBLE) AS q FROM t)
+SELECT v AS pos, round(beta, 5) AS beta, round(se, 5) AS se, round(CASE WHEN q > 6 THEN 0 ELSE 1 - {_ERF.format('q')} END, 6) AS p FROM p""")
+def glm_two_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Gaussian fit of a nation's value on frequency and abundance, by variant."""
+    phenotype = {n: float(n * 7 % 11) for n in range(25)}
+    calls = _calls(spark, sf_dir).select(F.lit("t").alias("classification"), F.lit("c").alias("chrom"), F.col("v").alias("pos"), F.lit(0).alias("allele"), "sample", "f", F.col("y").alias("abundance"))
+    found = assoc.glm(calls, phenotype, {}, 0.4)
+    return found.select("pos", F.round("beta", 5).alias("beta"), F.round("se", 5).alias("se"), F.round("p", 6).alias("p"))
+
+
 @PLANS.add()
 def glm_binomial(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logistic fits by variant; a nation's phenotype is whether its region is even."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,3 +37,14 @@ def spread(df: DataFrame) -> DataFrame:
     a table of many files stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder's path under the one that spark.checkpoint.dir names; under a temporary
+    one where it is unset, on a local master only."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all nodes share")
+        root = "file://" + tempfile.mkdtemp(prefix="tessera-")
+    return f"{root.rstrip('/')}/tessera-{label}-{uuid.uuid4().hex}"

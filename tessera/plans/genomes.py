@@ -183,7 +183,10 @@ def species_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dereplicate.representatives(_scored(spark, sf_dir), none)
 
 
-@PLANS.add()
+@PLANS.add("""WITH RECURSIVE e AS (SELECT label AS genus, 'v' || lpad(vec_id::VARCHAR, 12, '0') AS name, vec_id::DOUBLE AS score, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS i FROM embeddings),
+near AS (SELECT a.genus, a.i, a.name, a.score, list(b.name) FILTER (b.name IS NOT NULL) AS near FROM e a LEFT JOIN e b ON a.genus = b.genus AND b.i < a.i AND list_dot_product(a.v, b.v) >= 0.5::DOUBLE GROUP BY ALL),
+walk AS (SELECT DISTINCT genus, 0::BIGINT AS i, []::VARCHAR[] AS taken FROM e UNION ALL SELECT w.genus, n.i, CASE WHEN list_has_any(w.taken, coalesce(n.near, [])) THEN w.taken ELSE list_append(w.taken, n.name) END FROM walk w JOIN near n ON n.genus = w.genus AND n.i = w.i + 1),
+last AS (SELECT genus, arg_max(taken, i) AS taken FROM walk GROUP BY 1), rows AS (SELECT genus, unnest(taken) AS name, unnest(range(1, len(taken) + 1)) AS rank FROM last) SELECT genus, name, score, rank::INT AS rank FROM rows JOIN e USING (genus, name)""")
 def greedy_dereplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings of a label, by falling id, accepted if no accepted one has a cosine of
     0.5 or more."""

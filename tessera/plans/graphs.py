@@ -86,10 +86,24 @@ def label_propagation_r3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.propagate(_edges(spark, sf_dir), start, 3, 0.1)
 
 
-@PLANS.add()
+_STAGES = ((0.5, 2, 0.6), (0.3, 2, 0.5), (0.0, 2, 0.0))
+
+
+def _anneal_sql() -> str:
+    parts = [_KNN, "g AS (SELECT src, dst, greatest(score, 0) AS w FROM knn)", "y0 AS (SELECT id, label FROM e WHERE id % 5 = 0)"]
+    for k, (least, rounds, share) in enumerate(_STAGES):
+        parts.append(f"z{k}_0 AS (SELECT id, label, 1::DOUBLE AS p FROM y{k})")
+        for r in range(1, rounds + 1):
+            parts.append(f"""s{k}_{r} AS (SELECT src AS id, label, sum(w * p) AS s FROM g JOIN z{k}_{r - 1} z ON g.dst = z.id WHERE w >= {least}::DOUBLE GROUP BY ALL),
+z{k}_{r} AS (SELECT id, label, s / (sum(s) OVER (PARTITION BY id) + 10 * pow(2::DOUBLE, -23)) AS p FROM s{k}_{r} WHERE id NOT IN (SELECT id FROM y{k}) UNION ALL SELECT id, label, 1 FROM y{k})""")
+        parts.append(f"y{k + 1} AS (SELECT id, label FROM (SELECT id, label, p FROM z{k}_{rounds} QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(p, 12) DESC, label) = 1) WHERE p > {share}::DOUBLE)")
+    return f"WITH {', '.join(parts)} SELECT id, label FROM y{len(_STAGES)}"
+
+
+@PLANS.add(_anneal_sql())
 def annealed_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = _vectors(spark, sf_dir).where("id % 5 = 0").select("id", "label")
-    return graph.anneal(_edges(spark, sf_dir), start, ((0.5, 2, 0.6), (0.3, 2, 0.5), (0.0, 2, 0.0)))
+    return graph.anneal(_edges(spark, sf_dir), start, _STAGES)
 
 
 @PLANS.add()

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import association, genomes, graphs, reads, relational, sequences, taxa
+from . import association, files, genomes, graphs, reads, relational, sequences, taxa
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (genomes, taxa, sequences, reads, association, graphs, relational):
+for _module in (genomes, taxa, sequences, reads, association, graphs, relational, files):
     QUERIES |= _module.PLANS.queries
     ORACLES |= _module.PLANS.oracles

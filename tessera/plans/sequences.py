@@ -41,10 +41,10 @@ def reverse_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _seqs(spark, sf_dir).select("seq_id", F.md5(sequence.reverse_complement(F.col("seq"))).alias("digest"))
 
 
-@PLANS.add(f"WITH {_SEQS} SELECT seq_id, md5(regexp_replace(regexp_replace(seq, '[ \\t\\n\\x0b\\f\\r]', '', 'g'), '(.{{100}})', '\\1' || chr(10), 'g')) AS digest FROM seqs WHERE length(regexp_replace(seq, '[ \\t\\n\\x0b\\f\\r]', '', 'g')) % 100 <> 0")
+@PLANS.add(f"WITH {_SEQS} SELECT seq_id, md5(rtrim(regexp_replace(regexp_replace(seq, '[ \\t\\n\\x0b\\f\\r]', '', 'g'), '(.{{100}})', '\\1' || chr(10), 'g'), chr(10))) AS digest FROM seqs")
 def fasta_wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = F.regexp_replace("seq", r"\s", "")
-    return _seqs(spark, sf_dir).where(F.length(plain) % 100 != 0).select("seq_id", F.md5(sequence.wrapped(plain)).alias("digest"))
+    return _seqs(spark, sf_dir).select("seq_id", F.md5(sequence.wrapped(plain)).alias("digest"))
 
 
 def _nx_sql(x: str) -> str:

@@ -96,9 +96,26 @@ def mann_whitney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rank_sums(spark, sf_dir)
 
 
-@PLANS.add()
+#: The error function at a positive x: the sum of x^(2n+1) e^(-x^2) / gamma(n + 3/2).
+_ERF = "list_sum(list_transform(range(0, 160), lambda i: exp(-{0} * {0} + (2 * i + 1) * ln({0}) - lgamma(i + 1.5::DOUBLE))))"
+
+
+def _p_sql(rows: str, keep: str) -> str:
+    """Two-sided p values of `rows` (n1, n2, u1, ties): exact by counting the rank sums of all
+    choices, or the normal tail by the series of the error function."""
+    return f"""big AS (SELECT coalesce(max(n1 + n2), 0) AS most FROM {rows} WHERE ties = 0 AND least(n1, n2) <= 8),
+ways(n, k, s, w) AS (SELECT 0, 0, 0, 1::DOUBLE UNION ALL SELECT n, k, s, sum(w) FROM (SELECT n + 1 AS n, k, s, w FROM ways WHERE n < (SELECT most FROM big) UNION ALL SELECT n + 1, k + 1, s + n + 1, w FROM ways WHERE n < (SELECT most FROM big) AND k < 8) GROUP BY ALL),
+tails AS (SELECT *, greatest(u1, n1 * n2 - u1) AS u, least(n1, n2) AS small, n1 + n2 AS n FROM {rows}),
+exact AS (SELECT n, k, s - k * (k + 1) / 2 AS u, sum(w) OVER (PARTITION BY n, k ORDER BY s DESC) / sum(w) OVER (PARTITION BY n, k) AS p FROM ways),
+z AS (SELECT *, n1 * n2 / 12::DOUBLE * (n + 1 - ties / (n * (n - 1)::DOUBLE)) AS var FROM tails),
+x AS (SELECT *, CASE WHEN var > 0 THEN (u - n1 * n2 / 2::DOUBLE - 0.5::DOUBLE) / sqrt(var) / sqrt(2::DOUBLE) END AS x FROM z),
+pv AS (SELECT {keep}, CASE WHEN n1 = 0 OR n2 = 0 THEN 1 WHEN ties = 0 AND small <= 8 THEN least(1, 2 * (SELECT min(e.p) FROM exact e WHERE e.n = x.n AND e.k = x.small AND e.u = ceil(x.u)))
+ WHEN x IS NULL THEN 1 ELSE least(1, CASE WHEN x > 6 THEN 0 WHEN x < 0 THEN 1 + {_ERF.format('(-x)')} WHEN x = 0 THEN 1 ELSE 1 - {_ERF.format('x')} END) END AS p FROM x)"""
+
+
+@PLANS.add(f"WITH RECURSIVE {_RANKS}, {_p_sql('u', 'c_nationkey')} SELECT c_nationkey, round(p, 6) AS p FROM pv")
 def mann_whitney_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rank_sums(spark, sf_dir).select("c_nationkey", stats.mann_whitney("u1", "n1", "n2", "ties").alias("p"))
+    return _rank_sums(spark, sf_dir).select("c_nationkey", F.round(stats.mann_whitney("u1", "n1", "n2", "ties"), 6).alias("p"))
 
 
 @PLANS.add("SELECT c_custkey, rank() OVER (PARTITION BY c_mktsegment ORDER BY round(c_acctbal / 100)) + (count(*) OVER (PARTITION BY c_mktsegment, round(c_acctbal / 100)) - 1) / 2 AS rank FROM customer")
@@ -143,24 +160,27 @@ def median_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.group_test(values, groups, 0.0, 0.9).select("node", "median1", "flag", "median2")
 
 
-@PLANS.add()
+@PLANS.add(f"""WITH RECURSIVE {_MEDIANS}, t AS (SELECT node, v, count(*) AS t, count(*) FILTER (grp = 'AUTOMOBILE') AS t1 FROM v GROUP BY ALL),
+rk AS (SELECT *, sum(t) OVER (PARTITION BY node ORDER BY v) - t + (t + 1) / 2 AS rank FROM t), rs AS (SELECT node, sum(t1) AS n1, sum(t - t1) AS n2, sum(t1 * rank) AS r1, sum(t * t * t - t) AS ties FROM rk GROUP BY 1),
+us AS (SELECT node, n1::BIGINT AS n1, n2::BIGINT AS n2, r1 - n1 * (n1 + 1) / 2 AS u1, ties::DOUBLE AS ties FROM rs), {_p_sql('us', 'node')},
+raw AS (SELECT m.*, CASE WHEN tested THEN p END AS raw FROM m JOIN pv USING (node)), st AS (SELECT *, raw * count(raw) OVER () / row_number() OVER (ORDER BY raw NULLS LAST) AS step FROM raw),
+q AS (SELECT *, least(1, min(step) OVER (ORDER BY raw DESC NULLS FIRST)) AS q, m1 = 0 OR m2 = 0 AS bare FROM st)
+SELECT node, 'AUTOMOBILE' AS group1, 'BUILDING' AS group2, CASE WHEN m1 <> 0 THEN m1 END AS median1, CASE WHEN bare THEN '?' WHEN m1 > m2 THEN '>' WHEN m1 = m2 THEN '=' ELSE '<' END AS flag, CASE WHEN m2 <> 0 THEN m2 END AS median2,
+round(CASE WHEN bare OR raw IS NULL THEN 1 ELSE raw END, 6) AS p, round(CASE WHEN bare OR raw IS NULL THEN 1 ELSE q END, 6) AS q FROM q""")
 def group_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     values, groups = _groups(spark, sf_dir)
-    return stats.group_test(values, groups, 0.0, 0.9, "benjamini-hochberg")
+    return stats.group_test(values, groups, 0.0, 0.9, "benjamini-hochberg").withColumns({"p": F.round("p", 6), "q": F.round("q", 6)})
 
 
 @PLANS.add(f"WITH {_MEDIANS} SELECT node FROM m WHERE tested")
 def prevalence_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     values, groups = _groups(spark, sf_dir)
-    rows = values.join(groups, "sample")
-    one = lambda g: (F.count_if((F.col("grp") == g) & (F.col("value") > 0)) >= 0.9 * F.count_if(F.col("grp") == g))
-    return rows.groupBy("node").agg(one("AUTOMOBILE").alias("a"), one("BUILDING").alias("b")).where("a and b").select("node")
+    return stats.prevalent(*stats.paired(values, groups), 0.0, 0.9).where("tested").select("node")
 
 
 @PLANS.add("SELECT a.g AS group1, b.g AS group2 FROM (SELECT DISTINCT c_mktsegment AS g FROM customer) a JOIN (SELECT DISTINCT c_mktsegment AS g FROM customer) b ON a.g < b.g")
 def group_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = table(spark, sf_dir, "customer").select("c_mktsegment").distinct()
-    return g.select(F.col("c_mktsegment").alias("group1")).join(g.select(F.col("c_mktsegment").alias("group2")), F.col("group1") < F.col("group2"))
+    return stats.group_pairs(table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("grp")))
 
 
 @PLANS.add("SELECT s_suppkey, round((s_acctbal - avg(s_acctbal) OVER w) / (coalesce(stddev_samp(s_acctbal) OVER w, 0) + 10 * pow(2::DOUBLE, -23)), 6) AS z FROM supplier WINDOW w AS (PARTITION BY s_nationkey)")
@@ -169,9 +189,9 @@ def standardise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.standardise(s, ["s_nationkey"], "z").select("s_suppkey", F.round("z", 6).alias("z"))
 
 
-@PLANS.add("SELECT event_id, round((ln(1 + value) - min(ln(1 + value)) OVER w) / (max(ln(1 + value)) OVER w - min(ln(1 + value)) OVER w + 10 * pow(2::DOUBLE, -23)), 9) AS x FROM events WHERE value > 0 WINDOW w AS (PARTITION BY event_type)")
+@PLANS.add("SELECT event_id, round((ln(1 + value) - min(ln(1 + value)) OVER w) / (max(ln(1 + value)) OVER w - min(ln(1 + value)) OVER w + 10 * pow(2::DOUBLE, -23)), 9) AS x FROM events WINDOW w AS (PARTITION BY event_type)")
 def min_max_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("value > 0").select("event_id", "event_type", F.log1p("value").alias("x"))
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", F.log1p("value").alias("x"))
     return stats.min_max(e, ["event_type"], "x").select("event_id", F.round("x", 9).alias("x"))
 
 

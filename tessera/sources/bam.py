@@ -8,12 +8,15 @@ references that are not wanted are never touched.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +25,8 @@ from .files import open_binary
 INDEX = "file string, ref_id int, name string, length long, file_offset long, data_offset long, data_size long, header_md5 string"
 RECORD = "file string, ref_id int, name string, length long, pos long, mapq int, flag int, cigar array<struct<op:int,len:int>>, seq string, nm int"
 BASES = "=ACMGRSVTWYHKDBN"
-#: Reads in a batch.
-BATCH = 4096
+#: Reads in a batch; inflated bytes that are taken apart at a time.
+BATCH, CHUNK = 8192, 1 << 22
 #: Optional-tag types of fixed size, by struct code.
 _FIXED = {"A": "c", "c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
 
@@ -153,39 +156,76 @@ def tags(data: bytes, at: int) -> Iterator[tuple[str, object]]:
             raise ValueError(f"unknown tag type {kind}")
 
 
-def decode(data: bytes) -> tuple:
-    """(pos, mapq, flag, cigar, seq, nm) of a record; nm is 0 without the tag."""
-    pos, name, mapq, _, ops, flag, bases = struct.unpack_from("<iBBHHHi", data, 4)
-    at = 32 + name
-    cigar = [{"op": x & 15, "len": x >> 4} for x in struct.unpack_from(f"<{ops}I", data, at)]
-    at += 4 * ops
-    packed = data[at : at + (bases + 1) // 2]
-    seq = "".join(BASES[b >> 4] + BASES[b & 15] for b in packed)[:bases]
-    at += (bases + 1) // 2 + bases
-    nm = next((v for t, v in tags(data, at) if t == "NM"), 0)
-    return pos, mapq, flag, cigar, seq, nm
-
-
-def read_bam(index: DataFrame, min_length: int = 0, tasks: int | None = None) -> DataFrame:
+#: The fixed part of a record, its size before it.
+_HEAD = np.dtype([("size", "<i4"), ("ref", "<i4"), ("pos", "<i4"), ("name", "u1"), ("mapq", "u1"), ("bin", "<u2"), ("ops", "<u2"), ("flag", "<u2"), ("bases", "<i4"), ("rest", "V12")])
+#: The two letters of each byte of packed bases.
+_PAIRS = np.frombuffer("".join(BASES[b >> 4] + BASES[b & 15] for b in range(256)).encode(), "S2")
+#: Columns of a read for counting, without its letters.
+PLACED = ("pos", "mapq", "flag", "cigar", "nm")
+
+
+def _nested(rows: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Indices of `n` items from `first` on, for all rows in turn."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def columns_of(data: bytes, starts: list[int], wanted: tuple[str, ...]) -> dict[str, pa.Array]:
+    """Arrow columns of the records that begin at `starts`; only what is wanted is decoded."""
+    raw = np.frombuffer(data, np.uint8)
+    at = np.array(starts, np.int64)
+    head = raw[at[:, None] + np.arange(36)].copy().view(_HEAD).ravel() if len(at) else np.zeros(0, _HEAD)
+    out = {"pos": pa.array(head["pos"].astype(np.int64)), "mapq": pa.array(head["mapq"].astype(np.int32)), "flag": pa.array(head["flag"].astype(np.int32))}
+    ops, bases = head["ops"].astype(np.int64), head["bases"].astype(np.int64)
+    cigar = at + 36 + head["name"]
+    if "cigar" in wanted:
+        words = raw[_nested(at, cigar, 4 * ops)].copy().view("<u4")
+        items = pa.StructArray.from_arrays([pa.array((words & 15).astype(np.int32)), pa.array((words >> 4).astype(np.int32))], ["op", "len"])
+        out["cigar"] = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(ops)).astype(np.int32)), items)
+    letters = cigar + 4 * ops
+    packed = (bases + 1) // 2
+    if "seq" in wanted:
+        text = _PAIRS[raw[_nested(at, letters, packed)]].tobytes()
+        ends = 2 * np.cumsum(packed)
+        begins = ends - 2 * packed
+        out["seq"] = pa.array([text[a : a + n] for a, n in zip(begins.tolist(), bases.tolist(), strict=True)], pa.binary()).cast(pa.string())
+    if "nm" in wanted:
+        tail, stop = (letters + packed + bases).tolist(), (at + 4 + head["size"]).tolist()
+        out["nm"] = pa.array([next((int(v) for t, v in tags(data[a:b], 0) if t == "NM"), 0) for a, b in zip(tail, stop, strict=True)], pa.int32())
+    return out
+
+
+def read_bam(index: DataFrame, min_length: int = 0, tasks: int | None = None, columns: tuple[str, ...] = ("pos", "mapq", "flag", "cigar", "seq", "nm")) -> DataFrame:
     """Records of the index's ranges: references of at least `min_length` bases,
-    ranges without bytes skipped."""
-    names = ["file", "ref_id", "name", "length", "pos", "mapq", "flag", "cigar", "seq", "nm"]
-
-    def kernel(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in frames:
-            for r in x.itertuples():
-                rows = []
-                with open_binary(r.file) as f:
-                    s, left = Stream(f, int(r.file_offset), int(r.data_offset)), int(r.data_size)
+    ranges without bytes skipped. `columns`: what to decode of a record; letters cost most."""
+    side = ["file", "ref_id", "name", "length"]
+    kinds = dict(c.split(" ", 1) for c in re.split(r", ", RECORD))
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [*side, *columns])
+    order = [c for c in columns]
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for r in x.to_pylist():
+                with open_binary(r["file"]) as f:
+                    s, left, rest = Stream(f, int(r["file_offset"]), int(r["data_offset"])), int(r["data_size"]), b""
                     while left > 0:
-                        size = struct.unpack("<i", s.read(4))[0]
-                        left -= size + 4
-                        rows.append((r.file, r.ref_id, r.name, r.length, *decode(s.read(size))))
-                        if len(rows) == BATCH:
-                            yield pd.DataFrame(rows, columns=names)
-                            rows = []
-                yield pd.DataFrame(rows, columns=names)
+                        part = s.read(min(left, CHUNK))
+                        if not part:
+                            raise ValueError(f"{r['file']} ends within the records of {r['name']}")
+                        left -= len(part)
+                        data, at, starts = rest + part, 0, []
+                        while at + 4 <= len(data):
+                            size = struct.unpack_from("<i", data, at)[0] + 4
+                            if at + size > len(data):
+                                break
+                            starts.append(at)
+                            at += size
+                        rest = data[at:]
+                        for cut in range(0, len(starts), BATCH):
+                            own = starts[cut : cut + BATCH]
+                            got = columns_of(data, own, columns)
+                            same = [pa.array([r[c]] * len(own), kind) for c, kind in zip(side, (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)]
+                            yield pa.RecordBatch.from_arrays([*same, *(got[c] for c in order)], [*side, *order])
 
     wanted = index.where((F.col("data_size") > 0) & (F.col("length") >= min_length) & (F.col("ref_id") >= 0))
     n = tasks or index.sparkSession.sparkContext.defaultParallelism
-    return wanted.repartition(n, "file", "ref_id").mapInPandas(kernel, RECORD)
+    return wanted.repartition(n, "file", "ref_id").mapInArrow(kernel, schema)

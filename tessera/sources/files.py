@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import os
 import re
 from typing import BinaryIO
 
@@ -23,6 +24,19 @@ def open_binary(path: str) -> BinaryIO:
     return open(re.sub(r"^file:/*", "/", path), "rb")
 
 
+def create_binary(path: str) -> BinaryIO:
+    """A new file to write, by path or URI; its folder must be there, or be made here."""
+    if re.match(r"(?!file:)[a-z][a-z0-9+.-]*://", path):
+        from pyarrow.fs import FileSystem
+
+        fs, inner = FileSystem.from_uri(path)
+        fs.create_dir(inner.rsplit("/", 1)[0])
+        return fs.open_output_stream(inner)
+    plain = re.sub(r"^file:/*", "/", path)
+    os.makedirs(os.path.dirname(plain), exist_ok=True)
+    return open(plain, "wb")
+
+
 def open_sniffed(path: str) -> BinaryIO:
     """As open_binary, inflated if the content is gzip, whatever the name."""
     f = open_binary(path)
@@ -42,3 +56,8 @@ def stem(path: Column, suffix: str = "") -> Column:
     """The file name without folders and without `suffix`: a sample's or cluster's id."""
     name = F.regexp_extract(path, r"([^/]+)/*$", 1)
     return F.regexp_replace(name, re.escape(suffix) + "$", "") if suffix else name
+
+
+def part_files(spark: SparkSession, folder: str) -> list[str]:
+    """The files of a folder that Spark wrote, by name."""
+    return [r["path"] for r in find_files(spark, folder).collect()]
