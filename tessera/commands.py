@@ -95,7 +95,9 @@ def cluster(spark: SparkSession, assembly: str, coverage_file: str, seed_file: s
     )
     # ids by falling length, the longest first
     ids = _numbered(features.select("seq_id", "length"), folder)
-    found = clustering.cluster_sequences(features.join(ids, "seq_id").drop("seq_id"), marks.join(ids, "seq_id").select("id", "markers"), folder, settings)
+    # a seed that the assembly lacks fails
+    marked = binning.strict_join(marks, ids, "seq_id", "seed that is not in the assembly").select("id", "markers")
+    found = clustering.cluster_sequences(features.join(ids, "seq_id").drop("seq_id"), marked, folder, settings)
     named = found.join(sinks.numbered(found.select(F.col("cluster").alias("cluster")), "cluster"), "cluster").join(ids.select("id", "seq_id"), "id").select("seq_id", F.col("number").alias("cluster_id"))
     named = graph._written(named, folder, "mapping")
     sinks.write_mapping(named, f"{output}/mapping")
@@ -174,7 +176,7 @@ def representative(spark: SparkSession, clusters: list[str], quality: str, class
     else:
         unnamed = scored.where("species = 's__'").select("genus").distinct()
         wanted = seqs.join(scored.join(unnamed, "genus", "left_semi").select("name"), "name", "left_semi")
-        near = dereplicate.similar_pairs(dereplicate.sketches(wanted, "name", k, sketch), "name", k, sketch, ani).select("src", "dst")
+        near = dereplicate.similar_pairs(dereplicate.sketches(wanted, "name", k, sketch), "name", k, sketch, ani, scored.select("name", "genus")).select("src", "dst")
     found = dereplicate.representatives(scored, near)
     sinks.write_tsv(found.select(F.col("cluster_id").alias("Cluster ID"), F.col("classification").alias("Classification")), f"{output}/annotation", order=["Cluster ID"])
     named = dereplicate.renumbered(seqs.select("name", "ordinal", "seq"), found)

@@ -31,9 +31,10 @@ def sketches(seqs: DataFrame, group: str, k: int = 21, size: int = 1000, seed: i
     return hashes.withColumn("r", F.row_number().over(w)).where(F.col("r") <= size).drop("r")
 
 
-def similar_pairs(sketch: DataFrame, group: str, k: int = 21, size: int = 1000, ani: float = 0.95) -> DataFrame:
+def similar_pairs(sketch: DataFrame, group: str, k: int = 21, size: int = 1000, ani: float = 0.95, within: DataFrame | None = None) -> DataFrame:
     """(src, dst, jaccard, distance): pairs, src < dst, whose estimated distance
-    -ln(2j / (1 + j)) / k is at most 1 - ani.
+    -ln(2j / (1 + j)) / k is at most 1 - ani; with `within` (group, genus) only pairs of one
+    genus are made at all.
 
     Only pairs with a common hash are made, and they are counted before any sketch is
     attached: a pair needs so many common hashes as the least Jaccard asks of the
@@ -42,9 +43,13 @@ def similar_pairs(sketch: DataFrame, group: str, k: int = 21, size: int = 1000,
     top = math.exp(-k * (1 - ani))
     least = top / (2 - top)
     n = sketch.groupBy(group).agg(F.count("*").alias("n"))
+    if within is not None:
+        n = n.join(within.select(F.col(group), F.col("genus").alias("_within")).distinct(), group)
+    else:
+        n = n.withColumn("_within", F.lit(""))
     own = sketch.join(n, group)
-    a, b = own.select(F.col(group).alias("src"), F.col("n").alias("n1"), "hash"), own.select(F.col(group).alias("dst"), F.col("n").alias("n2"), "hash")
-    counted = a.join(b, "hash").where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("c"), F.greatest(F.max("n1"), F.max("n2")).alias("m"))
+    a, b = own.select(F.col(group).alias("src"), F.col("n").alias("n1"), "_within", "hash"), own.select(F.col(group).alias("dst"), F.col("n").alias("n2"), "_within", "hash")
+    counted = a.join(b, ["_within", "hash"]).where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("c"), F.greatest(F.max("n1"), F.max("n2")).alias("m"))
     shared = counted.where(F.col("c") >= least * F.least(F.lit(size), F.col("m"))).select("src", "dst")
     lists = sketch.groupBy(group).agg(F.array_sort(F.collect_list("hash")).alias("hs"))
     both = shared.join(lists.select(F.col(group).alias("src"), F.col("hs").alias("h1")), "src").join(lists.select(F.col(group).alias("dst"), F.col("hs").alias("h2")), "dst")

@@ -93,42 +93,55 @@ def shrunk(variance: Column, samples: int) -> Column:
     return variance / min(samples, 10) + 1e-3
 
 
-def pair_blocks(rows: DataFrame, block_rows: int, count: int) -> DataFrame:
-    """Deals rows out to all pairs of blocks: a row of block b meets every block once, as
-    the left side (b, other) and the right side (other, b). Both sides of a pair are one
-    group of bounded size."""
-    blocks = max(1, -(-count // block_rows))
-    own = rows.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    left = own.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_o")).select(*rows.columns, F.lit(0).alias("_side"), (F.col("_b") * blocks + F.col("_o")).alias("_pair"))
-    right = own.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_o")).select(*rows.columns, F.lit(1).alias("_side"), (F.col("_o") * blocks + F.col("_b")).alias("_pair"))
-    return left.unionByName(right)
-
-
-def top_neighbours(rows: DataFrame, k: int, score, weights: int = 1, block_rows: int = 4000) -> DataFrame:
+def pair_blocks(rows: DataFrame, block_rows: int, by: str | None = None) -> DataFrame:
+    """Deals rows (id, ...) out to all pairs of blocks of their group `by` (of all, if
+    none): `_pair` names the two, the lower first, `_b` is the row's own. A row goes to as
+    many pairs as there are blocks, and both sides of a pair are one group of bounded size."""
+    own = rows.withColumn("_by", F.col(by) if by else F.lit(0))
+    counts = own.groupBy("_by").agg(F.count("*").alias("_n"))
+    own = own.join(counts, "_by").withColumn("_blocks", F.ceil(F.col("_n") / block_rows)).withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_blocks")))
+    dealt = own.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    return dealt.withColumn("_pair", F.least("_b", "_o") * F.col("_blocks") + F.greatest("_b", "_o")).drop("_n", "_o")
+
+
+def _best(ids: np.ndarray, others: np.ndarray, s: np.ndarray, k: int) -> pd.DataFrame:
+    """The k best of each row of s (rows, others), the first by id of equals; others are
+    sorted, and what is not finite is none."""
+    m = min(k, len(others))
+    best = np.argsort(-s, axis=1, kind="stable")[:, :m]
+    v = np.take_along_axis(s, best, axis=1)
+    keep = np.isfinite(v)
+    return pd.DataFrame({"src": np.repeat(ids, m).reshape(-1, m)[keep], "dst": others[best][keep], "score": v[keep]})
+
+
+def top_neighbours(rows: DataFrame, k: int, score, weights: int = 1, block_rows: int = 4000, by: str | None = None) -> DataFrame:
     """(w, src, dst, score): each id's k best by `score`, exact, for each of `weights`
-    scorings. score(left, right) gets two data frames and gives an array (weights, left,
-    right); ids may not pair with themselves. Each block pair keeps k a row, so what is
-    merged is k times the number of blocks."""
-    count = rows.count()
+    scorings, among the ids of its group `by`. score(left, right) gets two data frames and
+    gives an array (weights, left, right), the same for either order; ids do not pair with
+    themselves. Each pair of blocks is scored once, for both sides, and keeps k a row and
+    512 others, so what is merged is bounded by the blocks."""
 
     def kernel(g: pd.DataFrame) -> pd.DataFrame:
-        a, b = g[g["_side"] == 0].sort_values("id"), g[g["_side"] == 1].sort_values("id")
-        out = []
-        if len(a) and len(b):
-            ids_a, ids_b = a["id"].to_numpy(), b["id"].to_numpy()
-            for cut in range(0, len(a), 512):
-                s = score(a.iloc[cut : cut + 512], b)
-                s = np.where(ids_a[None, cut : cut + 512, None] == ids_b[None, None, :], -np.inf, s)
-                m = min(k, len(ids_b))
-                for w in range(weights):
-                    best = np.argsort(-s[w], axis=1, kind="stable")[:, :m]
-                    v = np.take_along_axis(s[w], best, axis=1)
-                    keep = np.isfinite(v)
-                    src = np.repeat(ids_a[cut : cut + 512], m).reshape(-1, m)[keep]
-                    out.append(pd.DataFrame({"w": w, "src": src, "dst": ids_b[best][keep], "score": v[keep]}))
-        return pd.concat(out) if out else pd.DataFrame({"w": [], "src": [], "dst": [], "score": []})
-
-    found = pair_blocks(rows, block_rows, count).groupBy("_pair").applyInPandas(kernel, "w int, src long, dst long, score double")
+        g = g.sort_values("id")
+        sides = [x for _, x in g.groupby("_b")]
+        a, b = sides[0], sides[-1]
+        if len(sides) == 1 and g["_pair"].iloc[0] != _diagonal(g):
+            return pd.DataFrame({"w": [], "src": [], "dst": [], "score": []})
+        out, ids_b = [], b["id"].to_numpy()
+        for cut in range(0, len(a), 512):
+            part = a.iloc[cut : cut + 512]
+            ids_a = part["id"].to_numpy()
+            s = np.where(ids_a[None, :, None] == ids_b[None, None, :], -np.inf, score(part, b))
+            for w in range(weights):
+                out.append(_best(ids_a, ids_b, s[w], k).assign(w=w))
+                if len(sides) > 1:
+                    out.append(_best(ids_b, ids_a, s[w].T, k).assign(w=w))
+        return pd.concat(out)[["w", "src", "dst", "score"]]
+
+    def _diagonal(g: pd.DataFrame) -> int:
+        return int(g["_b"].iloc[0]) * int(g["_blocks"].iloc[0]) + int(g["_b"].iloc[0])
+
+    found = pair_blocks(rows, block_rows, by).groupBy("_by", "_pair").applyInPandas(kernel, "w int, src long, dst long, score double")
     rank = F.row_number().over(Window.partitionBy("w", "src").orderBy(F.desc("score"), "dst"))
     return found.withColumn("r", rank).where(F.col("r") <= k).drop("r")
 
@@ -142,24 +155,45 @@ def cosine_neighbours(vectors: DataFrame, k: int, block_rows: int = 4000) -> Dat
     return top_neighbours(vectors.select("id", "v"), k, score, 1, block_rows).drop("w")
 
 
+def _parts(a: pd.DataFrame, b: pd.DataFrame, floor_k: float, floor_c: float) -> tuple[np.ndarray, np.ndarray]:
+    """The k-mer and the coverage part of all pairs, NEVER under their floors."""
+    stack = lambda x, c: np.stack(x[c].to_numpy()).astype(float)
+    xa, xb = stack(a, "profile"), stack(b, "profile")
+    d = np.sqrt(np.maximum((xa**2).sum(1)[:, None] + (xb**2).sum(1)[None] - 2 * xa @ xb.T, 0))
+    lk = kmer_log_probability(d, log_length(a["length"])[:, None], log_length(b["length"])[None, :])
+    lc = coverage_log_probability(stack(a, "mean")[:, None], stack(a, "variance")[:, None], stack(b, "mean")[None], stack(b, "variance")[None])
+    return np.where(lk < floor_k, NEVER, lk), np.where(lc < floor_c, NEVER, lc)
+
+
 def affinity_graph(features: DataFrame, k: int, weights: list[tuple[float, float]], min_kmer: float = 0.5, min_coverage: float = 0.5, block_rows: int = 2000) -> DataFrame:
     """(w, src, dst, affinity) of features (id, length, profile, mean, variance): the k
     nearest under each pair of weights; a part under its floor never counts."""
     floor_k, floor_c = math.log(min_kmer), math.log(min_coverage)
 
     def score(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
-        stack = lambda x, c: np.stack(x[c].to_numpy()).astype(float)
-        xa, xb = stack(a, "profile"), stack(b, "profile")
-        d = np.sqrt(np.maximum((xa**2).sum(1)[:, None] + (xb**2).sum(1)[None] - 2 * xa @ xb.T, 0))
-        lk = kmer_log_probability(d, log_length(a["length"])[:, None], log_length(b["length"])[None, :])
-        lc = coverage_log_probability(stack(a, "mean")[:, None], stack(a, "variance")[:, None], stack(b, "mean")[None], stack(b, "variance")[None])
-        lk, lc = np.where(lk < floor_k, NEVER, lk), np.where(lc < floor_c, NEVER, lc)
+        lk, lc = _parts(a, b, floor_k, floor_c)
         return np.stack([wk * lk + wc * lc for wk, wc in weights])
 
     found = top_neighbours(features.select("id", "length", "profile", "mean", "variance"), k, score, len(weights), block_rows)
     return found.select("w", "src", "dst", F.exp("score").alias("affinity"))
 
 
+def cluster_edges(rows: DataFrame, k: int, min_kmer: float = 0.5, min_coverage: float = 0.5, block_rows: int = 2000) -> DataFrame:
+    """(src, dst, weight) of rows (id, label, length, profile, mean, variance, wk, wc, cut):
+    each one's k nearest within its cluster `label`, by the cluster's own weights, and of
+    these the ones whose affinity is at least its cut. All clusters are one pass."""
+    floor_k, floor_c = math.log(min_kmer), math.log(min_coverage)
+
+    def score(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+        wk, wc, cut = (float(a[c].iloc[0]) for c in ("wk", "wc", "cut"))
+        lk, lc = _parts(a, b, floor_k, floor_c)
+        s = wk * lk + wc * lc
+        return np.where(s < math.log(cut), -np.inf, s)[None]
+
+    columns = ["id", "label", "length", "profile", "mean", "variance", "wk", "wc", "cut"]
+    return top_neighbours(rows.select(*columns), k, score, 1, block_rows, "label").select("src", "dst", F.exp("score").alias("weight"))
+
+
 def _written(df: DataFrame, folder: str, label: str) -> DataFrame:
     path = f"{folder}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -204,14 +238,17 @@ def anneal(edges: DataFrame, labels: DataFrame, stages: tuple[tuple[float, int,
     return labels
 
 
-def propagate_dense(weights: np.ndarray, y: np.ndarray, rounds: int, min_p: float = 0.0, tolerance: float = 1e-3) -> np.ndarray:
-    """The same on one bounded group: y holds labels, -1 for none."""
+def propagate_near(near: np.ndarray, weights: np.ndarray, y: np.ndarray, rounds: int, min_p: float = 0.0, tolerance: float = 1e-3) -> np.ndarray:
+    """The same on one bounded group, whose rows have a few neighbours each: `near` are their
+    positions and `weights` how near they are, (rows, neighbours); y holds labels, -1 for none."""
     names = np.unique(y[y >= 0])
     fixed = y >= 0
     z = (y[:, None] == names[None, :]).astype(float)
     held = z[fixed]
     for _ in range(rounds):
-        new = weights @ z
+        new = np.zeros_like(z)
+        for j in range(near.shape[1]):
+            new += weights[:, [j]] * z[near[:, j]]
         new /= new.sum(axis=1, keepdims=True) + EPS
         new[fixed] = held
         change, z = np.abs(z - new).sum(), new
@@ -221,9 +258,9 @@ def propagate_dense(weights: np.ndarray, y: np.ndarray, rounds: int, min_p: floa
     return np.where(z[np.arange(len(y)), best] > min_p, names[best], -1)
 
 
-def anneal_dense(weights: np.ndarray, y: np.ndarray, stages=((0.97, 10, 0.0), (0.9, 10, 0.0), (0.7, 30, 0.0))) -> np.ndarray:
+def anneal_near(near: np.ndarray, weights: np.ndarray, y: np.ndarray, stages=((0.97, 10, 0.0), (0.9, 10, 0.0), (0.7, 30, 0.0))) -> np.ndarray:
     for least, rounds, min_p in stages:
-        y = propagate_dense(np.where(weights >= least, weights, 0.0), y, rounds, min_p)
+        y = propagate_near(near, np.where(weights >= least, weights, 0.0), y, rounds, min_p)
         if (y >= 0).all():
             break
     return y

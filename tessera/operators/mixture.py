@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 EPS = 10 * 2.0**-23
+#: Groups in which the tasks' sums meet before the driver, or the last task, adds them up.
+SPREAD = 32
 
 
 def moments(rows: DataFrame, vector: str, weight: str | None = None) -> tuple[float, np.ndarray, np.ndarray]:
     """(sum of weights, weighted sum, weighted sum of outer products): each task adds up
-    its rows, the driver its tasks' d x d matrices."""
+    its rows, SPREAD groups the tasks' d x d matrices, and the driver these."""
 
     def kernel(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w, s, q = 0.0, 0.0, 0.0
@@ -27,7 +29,12 @@ def moments(rows: DataFrame, vector: str, weight: str | None = None) -> tuple[fl
         if np.ndim(s):
             yield pd.DataFrame({"w": [w], "s": [np.ravel(s)], "q": [np.ravel(q)]})
 
-    parts = rows.select(vector, *([weight] if weight else [])).mapInPandas(kernel, "w double, s array<double>, q array<double>").collect()
+    def merge(g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"w": [g["w"].sum()], "s": [sum(g["s"])], "q": [sum(g["q"])]})
+
+    kind = "w double, s array<double>, q array<double>"
+    parts = rows.select(vector, *([weight] if weight else [])).mapInPandas(kernel, kind)
+    parts = parts.groupBy((F.spark_partition_id() % SPREAD).alias("part")).applyInPandas(merge, kind).collect()
     s = sum(np.array(r["s"]) for r in parts)
     return sum(r["w"] for r in parts), s, sum(np.array(r["q"]) for r in parts).reshape(len(s), len(s))
 
@@ -158,7 +165,8 @@ def _sums(rows: DataFrame, d: int, respond) -> tuple[np.ndarray, ...]:
         return pd.DataFrame({"k": [g["k"].iloc[0]], "n": [g["n"].sum()], "w": [g["w"].sum()], "s": [np.sum(np.stack(g["s"].to_numpy()), axis=0)], "q": [np.sum(np.stack(g["q"].to_numpy()), axis=0)], "moved": [g["moved"].sum()]})
 
     kind = "k long, n double, w double, s array<double>, q array<double>, moved double"
-    got = sorted(rows.select("x", "w", "y").mapInPandas(kernel, kind).groupBy("k").applyInPandas(merge, kind).collect(), key=lambda r: r["k"])
+    sums = rows.select("x", "w", "y").mapInPandas(kernel, kind).groupBy("k", F.spark_partition_id() % SPREAD).applyInPandas(merge, kind)
+    got = sorted(sums.groupBy("k").applyInPandas(merge, kind).collect(), key=lambda r: r["k"])
     return np.array([r["n"] for r in got]), np.array([r["w"] for r in got]), np.array([r["s"] for r in got]), np.array([r["q"] for r in got]).reshape(len(got), d, d), sum(r["moved"] for r in got)
 
 

@@ -191,12 +191,36 @@ def test_propagation_agrees(spark, tmp_path):
     y[:8] = [0, 1, 2, 0, 1, 2, 0, 1]
     edges = spark.createDataFrame([(int(i), int(j), float(w[i, j])) for i, j in zip(*np.nonzero(w), strict=True)], "src long, dst long, weight double")
     labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y) if v >= 0], "id long, label long")
-    want = graph.propagate_dense(w, y.copy(), 3)
+    near = np.argsort(-w, axis=1, kind="stable")[:, :5]
+    want = graph.propagate_near(near, np.take_along_axis(w, near, axis=1), y.copy(), 3)
+    z = (y[:, None] == np.arange(3)[None]).astype(float)  # densely, by hand
+    for _ in range(3):
+        new = w @ z / ((w @ z).sum(axis=1, keepdims=True) + graph.EPS)
+        new[:8] = z[:8]
+        z = new
+    assert np.where(z.max(axis=1) > 0, z.argmax(axis=1), -1).tolist() == want.tolist()
     for folder in (None, str(tmp_path)):
         got = {r.id: r.label for r in graph.propagate(edges, labels, 3, folder=folder).collect()}
         assert [got.get(i, -1) for i in range(40)] == want.tolist()
 
 
+def test_neighbours_stay_in_their_cluster(spark):
+    """Small blocks, several clusters in one pass: as from all pairs of each cluster."""
+    rng = np.random.default_rng(3)
+    n = 90
+    v = rng.normal(size=(n, 4))
+    by = rng.integers(0, 3, n)
+    rows = spark.createDataFrame([(i, int(by[i]), v[i].tolist()) for i in range(n)], "id long, c long, v array<double>")
+    score = lambda a, b: (np.stack(a["v"].to_numpy()) @ np.stack(b["v"].to_numpy()).T)[None]
+    got = {}
+    for r in graph.top_neighbours(rows, 3, score, 1, 7, "c").collect():
+        got.setdefault(r.src, set()).add(r.dst)
+    s = v @ v.T
+    np.fill_diagonal(s, -np.inf)
+    s[by[:, None] != by[None]] = -np.inf
+    assert got == {i: set(np.argsort(-s[i])[:3].tolist()) for i in range(n)}
+
+
 def test_weight_grid():
     assert graph.weight_grid([0.1, 0.9], [0.9, 0.1], 1) == [(0.9, 0.1), (0.1, 0.9)]
     first = graph.weight_grid([0.5], [0.5], 10)[0]
@@ -247,7 +271,7 @@ def test_clusters_split_until_all_are_decided(spark, tmp_path, monkeypatch):
     """A cluster that loses one sequence a round: more rounds than any fixed bound had."""
 
     def verdicts(state, marks, s):
-        return state.groupBy("label").agg(F.when(F.count("*") == 1, "final").otherwise("split").alias("verdict"))
+        return state.groupBy("label").agg(F.when(F.count("*") == 1, "final").otherwise("split").alias("verdict"), F.lit(2).alias("genomes"), F.count("*").alias("members"))
 
     def spread(base, open_, *rest):
         first = open_.agg(F.min("id")).first()[0]
@@ -276,3 +300,19 @@ def test_two_genomes_are_split(spark, tmp_path):
     got = {r.id: r.cluster for r in clustering.cluster_sequences(features, marks, str(tmp_path)).collect()}
     homes = [{got.get(i) for i in range(24 * g, 24 * g + 24)} for g in range(2)]
     assert [len(h) for h in homes] == [1, 1] and homes[0] != homes[1]
+
+
+def test_large_clusters_take_the_mixture(spark, tmp_path):
+    """Two genomes apart in coverage, over the gate: every sequence gets its genome's label."""
+    rng = np.random.default_rng(0)
+    rows = [(i, 20000 - i, rng.dirichlet(np.full(6, 50.0)).tolist(), [10.0 + 60 * (i % 2) + rng.normal(), 5.0 + 80 * (i % 2) + rng.normal()], [4.0, 4.0]) for i in range(60)]
+    features = spark.createDataFrame(rows, "id long, length long, profile array<double>, mean array<double>, variance array<double>")
+    s = clustering.Settings(mixture_sequences=10, mixture_rounds=10)
+    x = {r.id: r.x for r in clustering.model_features(features).collect()}
+    assert all(0 <= v <= 1 for r in x.values() for v in r[-2:])
+    open_ = features.select("id", "length", F.lit(0).cast("long").alias("label"))
+    judged = spark.createDataFrame([(0, "split", 2, 60)], "label long, verdict string, genomes long, members long")
+    split = spark.createDataFrame([(i, 0, 1 + i % 2, 0, 0.8) for i in range(12)], "id long, label long, seed long, w int, cut double")
+    got = {r.id: r.label for r in clustering._mix(features, open_, judged, split, s, str(tmp_path), 2).collect()}
+    assert got == {i: i % 2 for i in range(60)}
+    assert clustering._mix(features, open_, judged, split, clustering.Settings(), str(tmp_path), 2) is None

@@ -39,3 +39,21 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 16
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_without_the_text_operators(tmp_path):
+    """With their folders, or with the pipeline's file as well, taken out, the rest imports."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for keep in (True, False):
+        to = tmp_path / str(keep)
+        shutil.copytree(f"{here}/tessera", to / "tessera", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+        shutil.copy(f"{here}/__spark_entry__.py", to)
+        if keep and os.path.exists(f"{here}/corpus_pipeline.py"):
+            shutil.copy(f"{here}/corpus_pipeline.py", to)
+        code = "import __spark_entry__ as e; q = e.queries(); assert 'fasta_files' in q and not any(n.startswith('op') or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q)"
+        subprocess.run([sys.executable, "-c", code], cwd=to, check=True, env={**os.environ, "PYTHONPATH": ""})
