@@ -14,8 +14,8 @@ as soon as they exceed the budget. Sub-tries with more than `SUBTRIE` fingerprin
 counted beforehand and cut deeper, four bits a round, into pairs of smaller sub-tries
 whose prefixes differ within the budget, until none is over the bound; so no task ever
 holds more. Each group gives back a spanning forest of its links, not the links, so a
-dense group stays linear; the components are the same. Labels then spread by minimum with
-pointer jumping, each round written to the shared folder.
+dense group stays linear; the components are the same. Components come by hooking nodes to
+their least neighbours and contracting, each round written to the shared folder.
 
 Edge cases: a null or blank text has fingerprint zero and links like any other;
 fewer words than a shingle are one shingle; repeated rows fall into one class. A
@@ -313,24 +313,30 @@ def _deeper(state: DataFrame, budget: int, exact: int, subtrie: int) -> DataFram
 
 
 def components(edges: DataFrame, label: str = "cc") -> DataFrame:
-    """(node, root) for each node of `edges` (src, dst): root is the smallest
-    node reachable. Rounds of neighbour minimum and pointer jumping until no
-    label changes; each round is written, and copies of a hot label are split by
-    the skew join."""
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
+    """(node, root) for each node of `edges` (src, dst): root is the smallest node
+    reachable. In each round every node hooks to its least neighbour, pointers are jumped
+    until all show to a root, and edges are taken between roots, where they soon vanish; a
+    node that is no root is gone, so rounds are few. All is written."""
+    both = edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct()
     both = materialize(both, f"{label}-edges")
-    state = both.groupBy(F.col("src").alias("node")).agg(F.least(F.first("src"), F.min("dst")).alias("root"))
-    state = materialize(state, f"{label}-0")
-    for step in itertools.count(1):
-        own = state.select("node", F.col("root"), F.col("root").alias("was"))
-        none = F.lit(None).cast("long")
-        near = both.join(state, both["dst"] == state["node"]).select(F.col("src").alias("node"), "root", none.alias("was"))
-        up = state.select(F.col("node").alias("at"), F.col("root").alias("up"))
-        jump = state.join(up, state["root"] == up["at"]).select("node", F.col("up").alias("root"), none.alias("was"))
-        state = materialize(own.union(near).union(jump).groupBy("node").agg(F.min("root").alias("root"), F.max("was").alias("was")), f"{label}-{step}")
-        if state.where(F.col("root") != F.col("was")).isEmpty():
-            return state.select("node", "root")
-        state = state.select("node", "root")
+    total = None
+    while not both.isEmpty():
+        up = materialize(both.groupBy(F.col("src").alias("node")).agg(F.least(F.first("src"), F.min("dst")).alias("root")), f"{label}-up")
+        while True:
+            over = up.select(F.col("node").alias("at"), F.col("root").alias("over"))
+            jumped = materialize(up.join(over, up["root"] == over["at"]).select("node", F.col("over").alias("root"), (F.col("over") != F.col("root")).alias("moved")), f"{label}-up")
+            up = jumped.select("node", "root")
+            if jumped.where("moved").isEmpty():
+                break
+        if total is None:
+            total = up
+        else:
+            later = up.select(F.col("node").alias("at"), F.col("root").alias("later"))
+            total = materialize(total.join(later, total["root"] == later["at"], "left").select("node", F.coalesce("later", "root").alias("root")), f"{label}-total")
+        ends = [up.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("src", "dst")]
+        both = both.join(ends[0], "src").join(ends[1], "dst").select(F.col("src_root").alias("src"), F.col("dst_root").alias("dst"))
+        both = materialize(both.where("src <> dst").distinct(), f"{label}-edges")
+    return total if total is not None else both.select(F.col("src").alias("node"), F.col("dst").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, budget: int = 2, shingle: int = 3, seed: int = 42, subtrie: int = SUBTRIE) -> DataFrame:

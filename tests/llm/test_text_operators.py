@@ -616,3 +616,13 @@ def test_components_of_a_chain(spark):
     random.Random(0).shuffle(edges)
     found = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert found == {i: 0 for i in range(301)} | {900: 900, 901: 900}
+    rng = random.Random(2)
+    edges = [(rng.randrange(120), rng.randrange(120)) for _ in range(70)] + [(-5, 7)]
+    root = {x: x for e in edges for x in e if e[0] != e[1]}
+    while True:
+        new = {x: min([root[x]] + [root[b] for a, b in edges if a == x and a != b] + [root[a] for a, b in edges if b == x and a != b]) for x in root}
+        if new == root:
+            break
+        root = new
+    got = simhash.components(spark.createDataFrame(edges, "src long, dst long"))
+    assert {r.node: r.root for r in got.collect()} == root
