@@ -155,6 +155,41 @@ def test_minhash(spark):
     assert [(r.src, r.dst) for r in got] == [("a", "b")] and got[0].distance == pytest.approx(0.0075, abs=0.004)
 
 
+def test_sketches_are_sparks_hashes(spark):
+    rng = random.Random(5)
+    seqs = ["".join(rng.choice("ACGTACGTACGTNa\u00e9") for _ in range(rng.randint(0, 700))) for _ in range(40)] + [None, "ACGT" * 300]
+    df = spark.createDataFrame(list(enumerate(seqs)), "g int, seq string")
+    for k, size in ((4, 50), (13, 20), (21, 50)):
+        own = F.slice(F.array_sort(F.array_distinct(F.transform(sequence.canonical_kmers(F.col("seq"), k), lambda w: F.xxhash64(w, F.lit(42))))), 1, size)
+        want = {r.g: r.hs for r in df.select("g", own.alias("hs")).collect() if r.hs}
+        assert {r.g: r.hs for r in dereplicate.row_sketches(df, "g", k, size).collect()} == want
+
+
+def test_similar_classes_lose_no_link(spark, tmp_path):
+    """Against all pairs by hand: copies are one class, and a hash that all share makes no
+    candidates."""
+    rng = random.Random(6)
+    rows, base = [], [sorted(rng.sample(range(10**6), 40)) for _ in range(12)]
+    for i in range(90):
+        own = base[i % 12] if i % 3 == 0 else sorted({h if rng.random() > 0.3 else rng.randrange(10**6) for h in base[i % 12]} | {-1, -2})
+        rows.append((f"d{i:02}", own[: rng.choice((40, 40, 15))]))
+    df = spark.createDataFrame(rows, "g string, hs array<long>")
+
+    def jaccard(a, b):
+        union = set(sorted(set(a) | set(b))[:40])
+        return len(set(a) & set(b) & union) / len(union)
+
+    least = math.exp(-1.05) / (2 - math.exp(-1.05))
+    want = {(a, b): pytest.approx(jaccard(x, y)) for a, x in rows for b, y in rows if a < b and jaccard(x, y) >= least}
+    got = dereplicate.similar_pairs(df.select("g", F.explode("hs").alias("hash")), "g", 21, 40)
+    assert {(r.src, r.dst): r.jaccard for r in got.collect()} == want and want
+    pairs, members = dereplicate.similar_classes(df, "g", 21, 40, folder=str(tmp_path))
+    of = {r.g: r["class"] for r in members.collect()}
+    held = dict(rows)
+    assert all(held[g] == held[c] and c == min(x for x, y in rows if y == held[g]) for g, c in of.items()) and len(of) == 90
+    assert {(r.src, r.dst) for r in pairs.collect()} == {p for p in want if of[p[0]] == p[0] and of[p[1]] == p[1]}
+
+
 def test_glm():
     rng = np.random.default_rng(0)
     x = np.column_stack((np.ones(400), rng.normal(size=(400, 2))))
