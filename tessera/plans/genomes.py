@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import binning, dereplicate, markers
+from ..operators import binning, dereplicate, graph, markers
 from ..sources.tables import split_program
 from .base import Plans, table
 
@@ -190,11 +190,10 @@ last AS (SELECT genus, arg_max(taken, i) AS taken FROM walk GROUP BY 1), rows AS
 def greedy_dereplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings of a label, by falling id, accepted if no accepted one has a cosine of
     0.5 or more."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("genus"), F.concat(F.lit("v"), F.lpad(F.col("vec_id").cast("string"), 12, "0")).alias("name"), F.col("vec_id").cast("double").alias("score"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    a, b = e.select("genus", F.col("name").alias("src"), F.col("v").alias("x")), e.select("genus", F.col("name").alias("dst"), F.col("v").alias("y"))
-    dot = F.aggregate(F.zip_with("x", "y", lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x)
-    pairs = a.join(b, "genus").where(F.col("src") < F.col("dst")).where(dot >= 0.5).select("src", "dst")
-    return dereplicate.greedy_accept(e.select("genus", "name", "score"), pairs, "genus")
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("genus"), F.col("vec_id").cast("double").alias("score"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    name = lambda c: F.concat(F.lit("v"), F.lpad(F.col(c).cast("string"), 12, "0"))
+    pairs = graph.near_pairs(e, "genus", 0.5).select(name("a").alias("src"), name("b").alias("dst"))
+    return dereplicate.greedy_accept(e.select("genus", name("id").alias("name"), "score"), pairs, "genus")
 
 
 @PLANS.add("""WITH q AS (SELECT s_suppkey AS name, s_acctbal FROM supplier WHERE s_acctbal > 0), f AS (SELECT DISTINCT l_suppkey AS name FROM lineitem WHERE l_returnflag = 'R'),
