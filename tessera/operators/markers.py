@@ -83,8 +83,12 @@ def marker_score(counts: np.ndarray, by_recall: bool = False) -> tuple[float, fl
 
 
 def scores(members: DataFrame, by: str) -> DataFrame:
-    """(by, score, recall) from rows (by, marker), one for each marker copy."""
-    counts = members.groupBy(by, "marker").agg(F.count("*").alias("n"))
+    """(by, score, recall) from rows (by, marker), one for each marker copy. Rows are dealt out
+    by `by` before they are counted: counting them where they are read holds nearly as many
+    groups as there are rows. A number of partitions that is given is not made smaller at run
+    time, when few bytes may be many groups."""
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = members.select(by, "marker").repartition(n, by).groupBy(by, "marker").agg(F.count("*").alias("n"))
     out = []
     for name, (low, high) in (("arc", ARCHAEA), ("bac", BACTERIA)):
         inside = (F.col("marker") >= low) & (F.col("marker") < high)
