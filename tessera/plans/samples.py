@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import struct
 import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,27 +47,30 @@ def _block(data: bytes) -> bytes:
 
 
 def write_bams(spark: SparkSession, sf_dir: str) -> list[str]:
-    """Paths of the samples' files, sorted by reference and position: one writer a file."""
+    """Paths of the samples' files, sorted by reference and position: one writer a file, to
+    which Spark brings the sorted reads in batches."""
     folder = scratch(spark, "bam")
     e = table(spark, sf_dir, "events")
     ref = F.when(F.col("event_id") % 11 == 0, -1).otherwise(F.col("user_id") % len(REFS)).cast("int")
     rows = e.select("event_type", ref.alias("ref"), (F.col("event_id") * 31 % 4800).cast("int").alias("pos"), "event_id")
 
-    def write(group: pa.Table) -> pa.Table:
-        name = group.column("event_type")[0].as_py()
-        group = group.append_column("last", pa.array([r < 0 for r in group.column("ref").to_pylist()])).sort_by([(c, "ascending") for c in ("last", "ref", "pos", "event_id")])
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = b"BAM\1" + struct.pack("<ii", 0, len(REFS)) + b"".join(struct.pack("<i", len(r) + 1) + r.encode() + b"\0" + struct.pack("<i", LENGTH) for r in REFS)
-        path, held = f"{folder}/{name}.bam", bytearray(head)
-        with create_binary(path) as f:
-            for r, p, i in zip(group.column("ref").to_pylist(), group.column("pos").to_pylist(), group.column("event_id").to_pylist(), strict=True):
-                held += _record(r, p if r >= 0 else -1, FLAGS[i % 6], i % 60, i % 5, i % 9 // 2, i)
-                if len(held) >= BLOCK:
-                    f.write(_block(bytes(held)))
-                    held = bytearray()
-            f.write(_block(bytes(held)) + _block(b"") if held else _block(b""))
-        return pa.table({"path": [path]})
-
-    return sorted(r["path"] for r in rows.groupBy("event_type").applyInArrow(write, "path string").collect())
+        lines = (x for batch in batches for at in range(0, len(batch), 4096) for x in zip(*(c.to_pylist() for c in batch.slice(at, 4096).columns), strict=True))
+        for name, own in itertools.groupby(lines, key=lambda x: x[0]):
+            path, held = f"{folder}/{name}.bam", bytearray(head)
+            with create_binary(path) as f:
+                for _, r, p, i in own:
+                    held += _record(r, p if r >= 0 else -1, FLAGS[i % 6], i % 60, i % 5, i % 9 // 2, i)
+                    if len(held) >= BLOCK:
+                        f.write(_block(bytes(held)))
+                        held = bytearray()
+                f.write(_block(bytes(held)) + _block(b"") if held else _block(b""))
+            yield pa.RecordBatch.from_pydict({"path": [path]})
+
+    # unplaced reads come last
+    near = rows.repartition("event_type").sortWithinPartitions("event_type", F.col("ref") < 0, "ref", "pos", "event_id")
+    return sorted(r["path"] for r in near.mapInArrow(write, "path string").collect())
 
 
 def reads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:

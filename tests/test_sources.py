@@ -150,3 +150,14 @@ def test_sinks_and_back(spark, tmp_path):
     assert part.read_text() == ">s\n" + "A" * 100 + "\n" + "A" * 100 + "\n" + "A" * 50 + "\n"
     m = sinks.mapping_of(spark.createDataFrame([("f1", "a", "AC"), ("f2", "b", "ACGT"), ("f3", "c", "ACGTA")], "file string, seq_id string, seq string"), 4)
     assert sorted(tuple(r) for r in m.collect()) == [("b", "1"), ("c", "2")]
+
+
+def test_reads_are_streamed_to_their_files(spark, monkeypatch):
+    """No worker holds a whole sample."""
+    from conftest import DATA
+
+    from tessera.plans import samples
+
+    monkeypatch.setattr(type(spark.range(1).groupBy("id")), "applyInArrow", None, raising=False)
+    kinds = {r[0] for r in spark.read.parquet(f"{DATA}/events.parquet").select("event_type").distinct().collect()}
+    assert {p.rsplit("/", 1)[1] for p in samples.write_bams(spark, DATA)} == {f"{k}.bam" for k in kinds}
