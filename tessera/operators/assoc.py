@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPS = 10 * 2.0**-23
+#: Calls that are fitted together; a variant's are never parted.
+CALLS = 1 << 16
 
 
 def usable(variants: DataFrame, abundance: DataFrame) -> DataFrame:
@@ -74,39 +76,88 @@ def scaled(x: np.ndarray) -> np.ndarray:
 
 def fit_glm(x: np.ndarray, y: np.ndarray, binomial: bool, rounds: int = 100, tol: float = 1e-8) -> tuple[float, float, float]:
     """(beta, se, p) of column 1, p by the normal tail; (0, 0, 1) if it can't be fitted."""
-    none = (0.0, 0.0, 1.0)
+    return tuple(fit_glms(x[None], y[None], np.array([len(y)]), binomial, rounds, tol)[0].tolist())
+
+
+def fit_glms(x: np.ndarray, y: np.ndarray, n: np.ndarray, binomial: bool, rounds: int = 100, tol: float = 1e-8) -> np.ndarray:
+    """`fit_glm` of many at once: x (fits, rows, columns), y (fits, rows), the first n
+    (fits) of whose rows are data and the others 0; (fits, 3)."""
+    out = np.tile((0.0, 0.0, 1.0), (len(x), 1))
+    sound = np.flatnonzero((n > 0) & np.isfinite(x).all(axis=(1, 2)) & np.isfinite(y).all(axis=1))
+    if not len(sound):
+        return out
     try:
-        if not binomial:
-            beta, _, rank, _ = np.linalg.lstsq(x, y, rcond=None)
-            r, free = y - x @ beta, len(y) - rank
-            if free <= 0:
-                return none
-            cov = np.linalg.pinv(x.T @ x) * (r @ r) / free
-        else:
-            beta, last = np.zeros(x.shape[1]), math.inf
-            for step in range(rounds):
-                mu = (y + 0.5) / 2 if step == 0 else 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-                if (np.abs(y - mu) < 1e-6).all():
-                    return none  # separated
-                w = np.maximum(mu * (1 - mu), 1e-12)
-                eta = np.log(mu / (1 - mu))
-                root = np.sqrt(w)[:, None]
-                beta = np.linalg.lstsq(x * root, (eta + (y - mu) / w) * root[:, 0], rcond=None)[0]
-                mu = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-                dev = -2 * float(np.sum(y * np.log(mu) + (1 - y) * np.log(1 - mu)))
-                if abs(dev - last) < tol:
-                    break
-                last = dev
-            eta = x @ beta
-            if not (0 < y.sum() < len(y)) or eta[y == 1].min() > eta[y == 0].max():
-                return none  # separated: no finite maximum
-            cov = np.linalg.pinv((x * (mu * (1 - mu))[:, None]).T @ x)
-        se = math.sqrt(cov[1, 1])
-        if not (math.isfinite(beta[1]) and se > 0 and math.isfinite(se)):
-            return none
-        return float(beta[1]), se, math.erfc(abs(beta[1] / se) / math.sqrt(2))
-    except (np.linalg.LinAlgError, ValueError, FloatingPointError):
-        return none
+        with np.errstate(all="ignore"):
+            beta, se = _logistic(x[sound], y[sound], n[sound], rounds, tol) if binomial else _linear(x[sound], y[sound], n[sound])
+    except np.linalg.LinAlgError:
+        # one that can't be solved must not take the others with it
+        if len(sound) > 1:
+            out[sound] = [fit_glms(x[[i]], y[[i]], n[[i]], binomial, rounds, tol)[0] for i in sound]
+        return out
+    fine = np.isfinite(beta) & np.isfinite(se) & (se > 0)
+    beta, se = beta[fine], se[fine]
+    out[sound[fine]] = np.column_stack((beta, se, [math.erfc(z) for z in np.abs(beta / se) / math.sqrt(2)]))
+    return out
+
+
+def _solved(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(beta, rank) of least squares, the shortest solution where the rank is short."""
+    u, s, v = np.linalg.svd(x, full_matrices=False)
+    large = s > np.maximum(n, x.shape[2])[:, None] * np.finfo(float).eps * s[:, :1]
+    part = np.divide((u.transpose(0, 2, 1) @ y[:, :, None])[:, :, 0], s, out=np.zeros_like(s), where=large)
+    return (part[:, None, :] @ v)[:, 0], large.sum(axis=1)
+
+
+def _spread(x: np.ndarray) -> np.ndarray:
+    """Column 1's place on the diagonal of the inverse of x'x."""
+    _, s, v = np.linalg.svd(x, full_matrices=False)
+    return np.sum(np.divide(v[:, :, 1], s, out=np.zeros_like(s), where=s**2 > 1e-15 * s[:, :1] ** 2) ** 2, axis=1)
+
+
+def _product(x: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    return (x @ beta[:, :, None])[:, :, 0]
+
+
+def _linear(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(beta, se) of column 1; se is nan where no row is left over for it."""
+    beta, rank = _solved(x, y, n)
+    free = n - rank
+    error = np.sum((y - _product(x, beta)) ** 2, axis=1)
+    return beta[:, 1], np.sqrt(np.where(free > 0, _spread(x) * error / free, np.nan))
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, rounds: int, tol: float) -> tuple[np.ndarray, np.ndarray]:
+    """(beta, se) of column 1 by reweighted least squares; se is nan for the separated,
+    which have no finite maximum. A fit that has converged takes no part in later rounds."""
+
+    def chance(x: np.ndarray, beta: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(_product(x, beta), -30, 30)))
+
+    row = np.arange(x.shape[1]) < n[:, None]
+    beta, last, apart = np.zeros((len(x), x.shape[2])), np.full(len(x), math.inf), np.zeros(len(x), bool)
+    apart[(y.sum(axis=1) <= 0) | (y.sum(axis=1) >= n)] = True
+    live = np.flatnonzero(~apart)
+    for step in range(rounds):
+        mu = (y[live] + 0.5) / 2 if step == 0 else chance(x[live], beta[live])
+        flat = (~row[live] | (np.abs(y[live] - mu) < 1e-6)).all(axis=1)
+        apart[live[flat]] = True
+        live, mu = live[~flat], mu[~flat]
+        if not len(live):
+            break
+        a, b, r = x[live], y[live], row[live]
+        w = np.where(r, np.maximum(mu * (1 - mu), 1e-12), 1)
+        root = np.sqrt(w) * r
+        beta[live] = _solved(a * root[:, :, None], (np.log(mu / (1 - mu)) + (b - mu) / w) * root, n[live])[0]
+        mu = chance(a, beta[live])
+        dev = -2 * np.sum(np.where(r, b * np.log(mu) + (1 - b) * np.log(1 - mu), 0), axis=1)
+        going = ~(np.abs(dev - last[live]) < tol)
+        last[live] = dev
+        live = live[going]
+    eta, mu = _product(x, beta), chance(x, beta)
+    apart |= np.where(row & (y == 1), eta, math.inf).min(axis=1) > np.where(row & (y == 0), eta, -math.inf).max(axis=1)
+    se = np.full(len(x), np.nan)
+    se[~apart] = np.sqrt(_spread(x[~apart] * (np.sqrt(mu * (1 - mu)) * row)[~apart][:, :, None]))
+    return beta[:, 1], se
 
 
 def glm(calls: DataFrame, phenotype: dict[str, float], covariates: dict[str, list[float]], size: float = 0.5) -> DataFrame:
@@ -122,38 +173,60 @@ def glm(calls: DataFrame, phenotype: dict[str, float], covariates: dict[str, lis
     least = size * len(phenotype)
     width = len(next(iter(covariates.values()), []))
     key = ["classification", "chrom", "pos", "allele"]
-
-    def test(k: tuple, g: pd.DataFrame) -> tuple | None:
-        g = g[g["sample"].isin(phenotype)].sort_values("sample")
-        y = np.array([phenotype[s] for s in g["sample"]])
-        enough = (np.sum(y == 0) >= zeros and np.sum(y == 1) >= ones) if binomial else len(y) >= least
-        if not len(y) or not enough:
-            return None
-        c = np.array([covariates.get(s, [0.0] * width) for s in g["sample"]]).reshape(len(y), width)
-        x = np.column_stack((np.ones(len(y)), g["f"], g["abundance"], c))
-        return (*k, *fit_glm(x, y, binomial))
-
-    def fitted(f: pd.DataFrame) -> pd.DataFrame:
-        rows = [test(k, g) for k, g in f.groupby(key, sort=False, dropna=False)]
-        return pd.DataFrame([r for r in rows if r], columns=[*key, "beta", "se", "p"])
+    samples, values = pd.Index(list(phenotype)), np.array(list(phenotype.values()), float)
+    extra = np.array([covariates.get(s, [0.0] * width) for s in phenotype], float).reshape(len(phenotype), width)
+
+    def heads(f: pd.DataFrame) -> np.ndarray:
+        """Whether a row's variant is another than that of the row before."""
+        new = np.ones(len(f), bool)
+        new[1:] = False
+        for v in (f[c] for c in key):
+            null, v = v.isna().to_numpy(), v.to_numpy()
+            new[1:] |= (v[1:] != v[:-1]) & ~(null[1:] & null[:-1])
+        return new
+
+    def fitted(f: pd.DataFrame, new: np.ndarray) -> pd.DataFrame:
+        at = samples.get_indexer(f["sample"])
+        use = at >= 0
+        at, variant = at[use], np.cumsum(new)[use] - 1
+        y, count = values[at], np.bincount(variant, minlength=new.sum())
+        enough = count >= least
+        if binomial:
+            enough = (np.bincount(variant[y == 0], minlength=len(count)) >= zeros) & (np.bincount(variant[y == 1], minlength=len(count)) >= ones)
+        x = np.column_stack((np.ones(len(at)), f["f"].to_numpy(float)[use], f["abundance"].to_numpy(float)[use], extra[at]))
+        first, found = np.cumsum(count) - count, np.zeros((len(count), 3))
+        # fits of like numbers of rows are stacked: at most twice the rows that they have
+        top = 2 ** np.ceil(np.log2(np.maximum(count, 1))).astype(int)
+        kept = enough & (count > 0)
+        for t in np.unique(top[kept]):
+            these = np.flatnonzero(kept & (top == t))
+            slot = np.arange(count[these].max())
+            own = slot < count[these][:, None]
+            rows = (first[these][:, None] + slot)[own]
+            xs, ys = np.zeros((*own.shape, x.shape[1])), np.zeros(own.shape)
+            xs[own], ys[own] = x[rows], y[rows]
+            found[these] = fit_glms(xs, ys, count[these], binomial)
+        out = f.loc[new, key][kept].reset_index(drop=True)
+        return out.assign(**dict(zip(("beta", "se", "p"), found[kept].T, strict=True)))
 
     def kernel(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # rows of a variant are neighbours; the last one of a batch may go on in the next
-        rest = None
+        # rows of a variant are neighbours; the last one held may go on in the next batch
+        held: list[pd.DataFrame] = []
         for f in frames:
-            f = f if rest is None else pd.concat((rest, f), ignore_index=True)
-            if not len(f):
-                continue
-            new = f[key].ne(f[key].shift()).any(axis=1).to_numpy()
-            cut = int(np.flatnonzero(new)[-1])
-            rest = f.iloc[cut:]
-            if cut:
-                yield fitted(f.iloc[:cut])
-        if rest is not None:
-            yield fitted(rest)
+            held.append(f)
+            if sum(map(len, held)) >= CALLS:
+                f = pd.concat(held, ignore_index=True)
+                new = heads(f)
+                cut = int(np.flatnonzero(new)[-1])
+                held = [f.iloc[cut:]]
+                if cut:
+                    yield fitted(f.iloc[:cut], new[:cut])
+        f = pd.concat(held, ignore_index=True) if held else pd.DataFrame()
+        if len(f):
+            yield fitted(f, heads(f))
 
     kinds = dict(calls.dtypes)
-    near = calls.select(*key, "sample", "f", "abundance").repartition(*key).sortWithinPartitions(*key)
+    near = calls.select(*key, "sample", "f", "abundance").repartition(*key).sortWithinPartitions(*key, "sample")
     return near.mapInPandas(kernel, ", ".join(f"{c} {kinds[c]}" for c in key) + ", beta double, se double, p double")
 
 

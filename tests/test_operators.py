@@ -228,6 +228,49 @@ def test_glm():
     assert (constant == 0).all()
 
 
+@pytest.mark.parametrize("binomial", [False, True])
+def test_glm_fits_variants_together(spark, monkeypatch, binomial):
+    # batches smaller than a variant's rows; one that can't be fitted, one short of rank, one of
+    # too few samples, rows of samples without a phenotype, and the others as fitted alone
+    rng = np.random.default_rng(3)
+    names = [f"s{i:02}" for i in range(20)]
+    phenotype = {s: float(v) for s, v in zip(names, rng.permutation([0, 1] * 10) if binomial else rng.normal(size=20), strict=True)}
+    covariates = {s: [float(v)] for s, v in zip(names, rng.normal(size=20), strict=True)}
+    rows = []
+    for pos in range(40):
+        own = names[:5] if pos == 0 else sorted(rng.choice(names, 12 + pos % 9, replace=False))
+        f, a = rng.random(len(own)), rng.random(len(own))
+        f = a if pos == 1 else f
+        f[0] = math.nan if pos == 2 else f[0]
+        f = np.array([phenotype[s] for s in own]) if pos == 3 else f
+        rows += [("t", "c" if pos % 2 else None, pos, 0, s, float(x), float(y)) for s, x, y in zip(own, f, a, strict=True)]
+    calls = rows + [("t", "c", pos, 0, "unknown", 0.5, 0.5) for pos in range(50)]
+    df = spark.createDataFrame(calls, "classification string, chrom string, pos long, allele int, sample string, f double, abundance double")
+    monkeypatch.setattr(assoc, "CALLS", 64)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = {r.pos: (r.chrom, r.beta, r.se, r.p) for r in assoc.glm(df, phenotype, covariates, 0.4).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for pos in range(40):
+        mine = [r for r in rows if r[2] == pos]
+        y = np.array([phenotype[r[4]] for r in mine])
+        if min(np.sum(y == 0), np.sum(y == 1)) < 4 if binomial else len(y) < 8:
+            continue
+        x = np.array([(1, r[5], r[6], *covariates[r[4]]) for r in mine])
+        want[pos] = (mine[0][1], *map(pytest.approx, assoc.fit_glm(x, y, binomial)))
+    assert got == want and 0 not in got and got[2][1:] == (0, 0, 1) and len(got) > 20
+    assert not binomial or got[3][1:] == (0, 0, 1)
+    # neither padding nor company changes a fit
+    x, y, n = np.zeros((3, 30, 4)), np.zeros((3, 30)), np.array([10, 20, 30])
+    for i, k in enumerate(n):
+        x[i, :k] = np.column_stack((np.ones(k), rng.normal(size=(k, 3))))
+        y[i, :k] = rng.permutation(np.arange(k) % 2) if binomial else rng.normal(size=k)
+    alone = [assoc.fit_glm(a[:k], b[:k], binomial) for a, b, k in zip(x, y, n, strict=True)]
+    assert assoc.fit_glms(x, y, n, binomial) == pytest.approx(np.array(alone)) and all(p < 1 for *_, p in alone)
+
+
 def test_knn_blocks_agree(spark):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(120, 8))
