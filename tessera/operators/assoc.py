@@ -7,12 +7,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import _written
+
 EPS = 10 * 2.0**-23
 #: Calls that are fitted together; a variant's are never parted.
 CALLS = 1 << 16
+#: Pairs of samples in a step of their distances.
+PAIRS = 1 << 18
 
 
 def usable(variants: DataFrame, abundance: DataFrame) -> DataFrame:
@@ -31,26 +36,37 @@ def sample_distance(calls: DataFrame, variant: list[str], sample: str = "sample"
     becomes 1.
 
     A variant's row holds its samples, of a number that the study bounds; each task
-    adds up one matrix and gives its non-zero cells."""
-    rows = calls.groupBy(*variant).agg(F.array_agg(F.struct(F.col(sample).cast("string").alias("s"), F.col(value).alias("f"))).alias("c")).select("c")
+    adds up one matrix and gives its non-zero cells. Variants of as many samples are
+    taken together, in steps of `PAIRS` pairs."""
+    rows = calls.groupBy(*variant).agg(F.array_agg(F.struct(F.col(sample).cast("string").alias("s"), F.col(value).cast("double").alias("f"))).alias("c")).select("c")
 
-    def kernel(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: dict[str, int] = {}
         total, count = np.zeros((0, 0)), np.zeros((0, 0))
-        for x in frames:
-            for c in x["c"]:
-                ids = np.array([at.setdefault(r["s"], len(at)) for r in c])
-                f = np.array([r["f"] for r in c])
-                if len(at) > len(total):
-                    n = 2 * len(at)
-                    total, count = (np.pad(m, (0, n - len(m))) for m in (total, count))
-                total[np.ix_(ids, ids)] += (f[:, None] - f[None, :]) ** 2
-                count[np.ix_(ids, ids)] += 1
-        names = np.array(list(at), object)
+        for batch in batches:
+            held = batch.column(0).flatten()
+            names = held.field(0).dictionary_encode("encode")
+            own = np.array([at.setdefault(s, len(at)) for s in names.dictionary.to_pylist()], np.int64)
+            ids, f = own[names.indices.to_numpy()], held.field(1).to_numpy(zero_copy_only=False)
+            if len(at) > len(total):
+                n = 2 * len(at)
+                total, count = (np.pad(m, (0, n - len(m))) for m in (total, count))
+            sizes = batch.column(0).value_lengths().to_numpy()
+            first = np.cumsum(sizes) - sizes
+            for n in np.unique(sizes).tolist():
+                starts = first[sizes == n]
+                step = max(1, PAIRS // n**2)
+                for k in range(0, len(starts), step):
+                    here = starts[k : k + step, None] + np.arange(n)
+                    i, v = ids[here], f[here]
+                    cell = (i[:, :, None] * len(total) + i[:, None, :]).ravel()
+                    np.add.at(total.reshape(-1), cell, ((v[:, :, None] - v[:, None, :]) ** 2).ravel())
+                    np.add.at(count.reshape(-1), cell, 1.0)
         i, j = np.nonzero(count)
-        yield pd.DataFrame({"i": names[i] if len(i) else [], "j": names[j] if len(j) else [], "s": total[i, j], "n": count[i, j]})
+        names = pa.array(list(at), pa.string())
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(i)), names.take(pa.array(j)), pa.array(total[i, j]), pa.array(count[i, j])], ["i", "j", "s", "n"])
 
-    sums = rows.mapInPandas(kernel, "i string, j string, s double, n double").groupBy("i", "j").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    sums = rows.mapInArrow(kernel, "i string, j string, s double, n double").groupBy("i", "j").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     d = F.sqrt(F.col("s") / (F.col("n") + EPS))
     return sums.select("i", "j", F.when(d == 0, 1.0).otherwise(d).alias("distance"))
 
@@ -242,9 +258,12 @@ def gaussian_by_sums(rows: DataFrame, by: list[str], x: str, y: str, least: floa
     return s.select(*by, "n", beta.alias("beta"), F.sqrt(rest / (F.col("n") - 2) / F.col("sxx")).alias("se"))
 
 
-def significance(tests: DataFrame, alpha: float = 0.05, replication: bool = False) -> DataFrame:
+def significance(tests: DataFrame, alpha: float = 0.05, replication: bool = False, folder: str | None = None) -> DataFrame:
     """Adds `significance`: + where p is at most alpha over the number of tests (alpha
-    itself in replication)."""
+    itself in replication). With `folder` the tests are written there, once; without, they
+    are made for their number and again for their rows."""
+    if folder:
+        tests = _written(tests, folder, "tests")
     if replication:
         return tests.withColumn("significance", F.when(F.col("p") > alpha, "-").otherwise("+"))
     n = tests.agg(F.greatest(F.count("*"), F.lit(1)).alias("_n"))

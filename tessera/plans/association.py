@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import assoc
-from .base import Plans, table
+from ..operators import assoc, graph
+from .base import Plans, scratch, table
 from .taxa import _ERF
 
 PLANS = Plans()
@@ -62,14 +62,15 @@ def association_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances, their components as covariates, a Gaussian fit by variant, significance."""
     import numpy as np
 
-    calls = _calls(spark, sf_dir)
+    folder = scratch(spark, "scan")
+    calls = graph._written(_calls(spark, sf_dir), folder, "calls")  # for the distances and the fits
     distance = assoc.sample_distance(calls, ["v"]).toPandas()  # 25 x 25 samples
     nations = sorted(r["n_nationkey"] for r in table(spark, sf_dir, "nation").collect())
     parts = assoc.scaled(assoc.principal_components(distance, [str(n) for n in nations], 3))
     phenotype = {n: float(np.sin(n)) for n in nations}
     covariates = {n: parts[i].tolist() for i, n in enumerate(nations)}
     rows = calls.select(F.lit("t").alias("classification"), F.lit("c").alias("chrom"), F.col("v").alias("pos"), F.lit(0).alias("allele"), "sample", "f", F.col("y").alias("abundance"))
-    return assoc.significance(assoc.glm(rows, phenotype, covariates, 0.4))
+    return assoc.significance(assoc.glm(rows, phenotype, covariates, 0.4), folder=folder)
 
 
 # a part is a test: brand the taxon, size the sequence

@@ -271,6 +271,41 @@ def test_glm_fits_variants_together(spark, monkeypatch, binomial):
     assert assoc.fit_glms(x, y, n, binomial) == pytest.approx(np.array(alone)) and all(p < 1 for *_, p in alone)
 
 
+def test_sample_distance_in_steps(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    f = {(v, s): float(rng.random()) for v in range(30) for s in range(12) if rng.random() < 0.6}
+    df = spark.createDataFrame([(v, s, x if s != 11 else f.get((v, 10), x)) for (v, s), x in f.items()], "v int, sample int, f double")
+    f = {(r.v, r.sample): r.f for r in df.collect()}
+    monkeypatch.setattr(assoc, "PAIRS", 50)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        got = {(r.i, r.j): r.distance for r in assoc.sample_distance(df, ["v"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for i in range(12):
+        for j in range(12):
+            d = [(f[v, i] - f[v, j]) ** 2 for v in range(30) if (v, i) in f and (v, j) in f]
+            want[str(i), str(j)] = pytest.approx(math.sqrt(sum(d) / (len(d) + assoc.EPS)) or 1.0)
+    assert got == want
+    empty = assoc.sample_distance(df.where("v < 0"), ["v"])
+    assert empty.count() == 0
+
+
+def test_tests_are_written_once(spark, tmp_path):
+    # the number of tests and their rows come from one pass over them
+    made = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for x in frames:
+            made.add(len(x))
+            yield x
+
+    tests = spark.createDataFrame([(i, 0.001 * i) for i in range(100)], "pos int, p double").mapInPandas(count, "pos int, p double")
+    got = {r.pos: r.significance for r in assoc.significance(tests, folder=str(tmp_path)).collect()}
+    assert made.value == 100 and got == {i: "+" if i == 0 else "-" for i in range(100)}
+
+
 def test_knn_blocks_agree(spark):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(120, 8))
