@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +13,8 @@ from pyspark.sql.types import StructType
 
 from .files import open_sniffed
 
-#: Bases in a batch of records.
-BATCH_BASES = 1 << 24
+#: Bytes of the records in a batch, and what one takes besides its letters.
+BATCH_BYTES, RECORD_BYTES = 1 << 22, 256
 
 
 def records(stream) -> Iterator[tuple[str, str]]:
@@ -32,6 +33,15 @@ def records(stream) -> Iterator[tuple[str, str]]:
         yield name, b"".join(body).decode()
 
 
+def strings(values: Sequence[str]) -> pa.Array:
+    """As pa.array, whose builder would double its space over and over and keep it."""
+    raw = [v.encode() for v in values]
+    ends = np.cumsum([0, *map(len, raw)])
+    if ends[-1] >= 1 << 31:
+        return pa.array(values, pa.string())
+    return pa.StringArray.from_buffers(len(raw), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(b"".join(raw)))
+
+
 class FastaReader(DataSourceReader):
     def __init__(self, paths: list[str]):
         self.paths = paths
@@ -40,21 +50,22 @@ class FastaReader(DataSourceReader):
         return [InputPartition(p) for p in self.paths]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        held, bases, at = [], 0, 0
+        held, size, at = [], 0, 0
         with open_sniffed(partition.value) as f:
             for name, seq in records(f):
                 held.append((at, name, seq))
-                at, bases = at + 1, bases + len(seq)
-                if bases >= BATCH_BASES:
-                    yield self.batch(partition.value, held)
-                    held, bases = [], 0
+                at, size = at + 1, size + len(name) + len(seq) + RECORD_BYTES
+                if size >= BATCH_BYTES:
+                    batch, held, size = self.batch(partition.value, held), [], 0
+                    yield batch
+                    del batch
         if held:
             yield self.batch(partition.value, held)
 
     @staticmethod
     def batch(path: str, held: list[tuple[int, str, str]]) -> pa.RecordBatch:
         at, names, seqs = zip(*held, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array([path] * len(held)), pa.array(at, pa.int64()), pa.array(names), pa.array(seqs)], ["file", "ordinal", "seq_id", "seq"])
+        return pa.RecordBatch.from_arrays([strings([path] * len(held)), pa.array(at, pa.int64()), strings(names), strings(seqs)], ["file", "ordinal", "seq_id", "seq"])
 
 
 class Fasta(DataSource):

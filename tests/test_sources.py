@@ -23,6 +23,17 @@ def test_fasta_plain_and_gzip_by_content(spark, tmp_path):
     assert fasta.read_fasta(spark, [str(tmp_path / "a.fa"), str(tmp_path / "b.fa")]).count() == 6
 
 
+def test_fasta_batches_are_bounded_by_what_they_hold(tmp_path):
+    # short records take more than their letters
+    want = [(i, f"é{i}", "ACGT"[: 1 + i % 4]) for i in range(60000)]
+    (tmp_path / "a.fa").write_bytes("".join(f">{name} x\n{seq}\n" for _, name, seq in want).encode())
+    batches = list(fasta.FastaReader([]).read(fasta.InputPartition(str(tmp_path / "a.fa"))))
+    assert [(r["ordinal"], r["seq_id"], r["seq"]) for b in batches for r in b.to_pylist()] == want
+    assert len(batches) > 3 and all(b.nbytes < 1 << 22 for b in batches)
+    for b in batches:
+        b.validate(full=True)
+
+
 def test_plain_fasta_is_split_by_spark(spark, tmp_path):
     (tmp_path / "a.fa").write_bytes(FASTA)
     assert sorted((r.seq_id, r.seq) for r in fasta.read_plain_fasta(spark, str(tmp_path / "a.fa")).collect()) == [("s1", "ACGTNNAC"), ("s2", "GGGG"), ("s3", "AC")]
