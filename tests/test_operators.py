@@ -71,6 +71,13 @@ def test_benjamini_hochberg(spark):
     assert got == pytest.approx({0.01: 0.025, 0.04: 0.05, 0.03: 0.05, 0.005: 0.025, 0.5: 0.5})
 
 
+def test_benjamini_hochberg_ties(spark):
+    """Equal p values get the same q, the least of any order of theirs."""
+    df = spark.createDataFrame([(1, i, p) for i, p in enumerate((0.02, 0.5, 0.02, 0.01, 0.02))], "g int, i int, p double")
+    got = {r.i: r.q for r in stats.benjamini_hochberg(df, "p", ["g"]).collect()}
+    assert got == pytest.approx({0: 0.025, 1: 0.5, 2: 0.025, 3: 0.025, 4: 0.025})
+
+
 def test_average_rank(spark):
     df = spark.createDataFrame([(1, v) for v in (1.0, 2.0, 2.0, 3.0)], "g int, v double")
     assert [r[0] for r in df.select(stats.average_rank("v", ["g"]).alias("r")).orderBy("r").collect()] == [1, 2.5, 2.5, 4]
